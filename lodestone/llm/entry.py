@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import packing, tokens
+from lodestone.llm import bpe, links, packing, tokens
 
 
 def tokenizer_file(name: str) -> str:
@@ -30,14 +30,28 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies of every document."""
+    found = links.similar_documents(table(spark, sf_dir, "documents"), 80)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     counts = tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    decoded = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), ranks), ranks)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op7_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_similar, op7_token_counts, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
