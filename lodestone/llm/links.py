@@ -29,7 +29,7 @@ LARGEST_SMALL = 12
 CHECK_COST = 8
 #: Frequent shingles: the most that one task reports, the count that it reports from, the count that
 #: matters over all, and the most that are broadcast (about 2.4 MB). They only order the lists.
-LOCAL_FREQUENT, LOCAL_LEAST, LEAST_FREQUENT, MOST_FREQUENT = 5_000, 4, 32, 100_000
+LOCAL_FREQUENT, LOCAL_LEAST, LEAST_FREQUENT, MOST_FREQUENT = 20_000, 2, 5, 100_000
 #: Elements and members of a group that are verified at once; larger groups are split into blocks.
 BLOCK_ELEMENTS, BLOCK_MEMBERS = 500_000, 4_096
 #: Keys of one bucket and elements of one verifying task, about.
@@ -203,11 +203,11 @@ def _keys(docs: DataFrame, order: Order, boundary: int, buckets: int, threshold:
     schema = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("data", pa.binary())])
     flush_at = 1 << 20
 
-    def packed(out, keys, owners, known):
-        key, owner = np.concatenate(keys), np.concatenate(owners)
+    def packed(out, keys, owners, sizes, known):
+        key, owner, size = np.concatenate(keys), np.concatenate(owners), np.concatenate(sizes)
         bucket = ((mix(key) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
-        rows = np.stack([key[by].view(np.int64), owner[by]], axis=1)
+        rows = np.stack([key[by].view(np.int64), owner[by], size[by]], axis=1)
         ends = np.cumsum(np.bincount(bucket, minlength=buckets))
         begin = 0
         for b, end in enumerate(ends.tolist()):
@@ -220,7 +220,20 @@ def _keys(docs: DataFrame, order: Order, boundary: int, buckets: int, threshold:
     def run(batches):
         seen: set[int] = set()
         out, held = Output(schema), 0
-        keys, owners, groups, members = [], [], [], []
+        pending: dict[bool, tuple[list, list, list]] = {False: ([], [], []), True: ([], [], [])}
+
+        def hold(known, key, cid, n):
+            for column, values in zip(pending[known], (key, np.full(len(key), cid, np.int64), np.full(len(key), n, np.int64)), strict=True):
+                column.append(values)
+            return len(key)
+
+        def flush():
+            for known, columns in pending.items():
+                if columns[0]:
+                    yield from packed(out, *columns, known)
+                    for column in columns:
+                        column.clear()
+
         for batch in batches:
             for elements in Words(batch.column(1), lower=True).sets():
                 n = len(elements)
@@ -228,54 +241,44 @@ def _keys(docs: DataFrame, order: Order, boundary: int, buckets: int, threshold:
                 if not n or cid in seen:
                     continue
                 seen.add(cid)
-                mine = [np.zeros(0, np.uint64)]
                 if n <= boundary:
-                    mine.append(_subset_keys(elements, boundary, threshold))
+                    held += hold(False, _subset_keys(elements, boundary, threshold), cid, n)
                 if n > boundary or threshold.compatible(n, boundary + 1):
                     rare, known = order.first(elements, threshold.prefix(n))
-                    mine.append(rare)
+                    held += hold(False, rare, cid, n)
                     if len(known):
-                        known = np.unique(known)
-                        groups.append(known.view(np.uint64))
-                        members.append(np.full(len(known), cid, np.int64))
-                        held += len(known)
-                key = np.concatenate(mine)
-                keys.append(key)
-                owners.append(np.full(len(key), cid, np.int64))
-                held += len(key)
+                        held += hold(True, np.unique(known).view(np.uint64), cid, n)
             if held >= flush_at:
-                yield from packed(out, keys, owners, False)
-                if groups:
-                    yield from packed(out, groups, members, True)
-                keys, owners, groups, members, held = [], [], [], [], 0
-        if keys:
-            yield from packed(out, keys, owners, False)
-        if groups:
-            yield from packed(out, groups, members, True)
+                yield from flush()
+                held = 0
+        yield from flush()
         yield out.batch()
 
     return docs.mapInArrow(run, "bucket int, known boolean, data binary")
 
 
-def _memberships(keys: DataFrame) -> DataFrame:
-    """Each class with the groups that it is to be verified in: a list's group is its smallest class."""
+def _memberships(keys: DataFrame, percent: int) -> DataFrame:
+    """Each class with the groups that it is to be verified in.
+
+    A list in the order of sizes breaks where neighbours are too unlike in size to link; each part
+    of two or more is a group, named by its smallest class.
+    """
 
     def of_bucket(table: pa.Table) -> pa.Table:
         sides = {True: [], False: []}
         for known, data in zip(table.column("known").to_pylist(), table.column("data").to_pylist(), strict=True):
-            sides[known].append(np.frombuffer(data, np.int64).reshape(-1, 2))
-        pairs = list(sides[True])
+            sides[known].append(np.frombuffer(data, np.int64).reshape(-1, 3))
+        pairs = [rows[:, :2] for rows in sides[True]]
         if sides[False]:
             rows = np.concatenate(sides[False])
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
             new = np.ones(len(rows), bool)
             new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-            rows = rows[new]
-            at = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-            size = np.diff(np.append(at, len(rows)))
-            of_list = np.repeat(np.arange(len(at)), size)
-            shared = size[of_list] > 1
-            pairs.append(np.stack([rows[at[of_list[shared]], 1], rows[shared, 1]], axis=1))
+            key, cid, n = rows[new].T
+            at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (100 * n[:-1] < percent * n[1:])]))
+            size = np.diff(np.append(at, len(key)))
+            shared = np.repeat(size, size) > 1
+            pairs.append(np.stack([np.repeat(np.minimum.reduceat(cid, at), size)[shared], cid[shared]], axis=1))
         pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         new = np.ones(len(pairs), bool)
@@ -440,7 +443,7 @@ def similar_documents(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     elements = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(_partitions(spark), ceil(elements * (100 - percent) / 100 / BUCKET_KEYS))
 
-    groups = written(_memberships(_keys(docs, order, boundary, buckets, threshold)))
+    groups = written(_memberships(_keys(docs, order, boundary, buckets, threshold), percent))
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     sized = groups.join(classes.select("cid", "n"), "cid")
     weight = sized.groupBy("grp").agg(F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
