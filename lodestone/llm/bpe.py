@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm.arrow import columns_of, rows_of
-from lodestone.llm.tokens import _ODD, _SPLIT, MEMO_ENTRIES, safe_pieces
+from lodestone.llm.tokens import _ODD, _SPLIT, safe_pieces
 
 #: Rows and bytes of ids of one output batch.
 OUT_ROWS, OUT_BYTES = 1000, 8 << 20
+#: Entries of the pre-token memo, about 200 bytes each; a full memo is emptied.
+MEMO_ENTRIES = 900_000
 
 
 class Merger:
@@ -32,34 +34,38 @@ class Merger:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.low = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
+        self.bit = [1 << b for b in range(max(256, len(self.low)))]
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of a pre-token. The queue's steps stand inline, as calls would cost more than they do."""
-        rank_of, low, bucket, top = self.ranks.get, self.low, {}, 0
+        rank_of, low, bit, bucket, top = self.ranks.get, self.low, self.bit, {}, 0
         whole = rank_of(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
         after, before = list(range(1, n + 2)), list(range(-1, n))  # starts of the neighbours' tokens
-        pair: list[int | None] = [rank_of(piece[i : i + 2]) for i in range(n)]  # the rank of a token with the next one
-        pair[n - 1] = None
-        for i in range(n):
-            rank = pair[i]
+        pair: list[int | None] = [rank_of(piece[i : i + 2]) for i in range(n - 1)]  # the rank of a token with the next one
+        pair.append(None)
+        for i, rank in enumerate(pair):
             if rank is not None:
-                if rank not in bucket:
-                    bucket[rank] = i
-                    low[rank >> 8] |= 1 << (rank & 255)
-                    top |= 1 << (rank >> 8)
-                elif type(waiting := bucket[rank]) is list:
-                    waiting.append(i)
+                if rank in bucket:
+                    waiting = bucket[rank]
+                    if type(waiting) is list:
+                        waiting.append(i)
+                    else:
+                        bucket[rank] = [waiting, i]
                 else:
-                    bucket[rank] = [waiting, i]
-        while top:
+                    bucket[rank] = i
+                    low[rank >> 8] |= bit[rank & 255]
+                    top |= bit[rank >> 8]
+        live = n - pair.count(None)  # pairs that still can merge; the rest of the queue is stale
+        while live:
             above = (top & -top).bit_length() - 1
             word = low[above]
             rank = above << 8 | (word & -word).bit_length() - 1
-            waiting = bucket[rank]
-            i = heappop(waiting) if type(waiting) is list else waiting
+            i = waiting = bucket[rank]
+            if type(waiting) is list:
+                i = heappop(waiting)
             if i is waiting or not waiting:
                 del bucket[rank]
                 low[above] = word = word & (word - 1)
@@ -69,27 +75,45 @@ class Merger:
                 continue
             gone = after[i]
             end = after[i] = after[gone]
-            pair[gone] = None
+            if pair[gone] is not None:
+                pair[gone] = None
+                live -= 1
             if end < n:
                 before[end] = i
                 new = pair[i] = rank_of(piece[i : after[end]])
+                if new is not None:
+                    if new in bucket:
+                        waiting = bucket[new]
+                        bucket[new] = waiting = waiting if type(waiting) is list else [waiting]
+                        heappush(waiting, i)
+                    else:
+                        bucket[new] = i
+                        low[new >> 8] |= bit[new & 255]
+                        top |= bit[new >> 8]
+                else:
+                    live -= 1
             else:
-                new = pair[i] = None
-            at, left = i, before[i]
-            while True:  # the pair here, then the one to the left
+                pair[i] = None
+                live -= 1
+            left = before[i]
+            if left >= 0:
+                new, old = rank_of(piece[left:end]), pair[left]
+                pair[left] = new
                 if new is not None:
-                    if new not in bucket:
-                        bucket[new] = at
-                        low[new >> 8] |= 1 << (new & 255)
-                        top |= 1 << (new >> 8)
-                    elif type(waiting := bucket[new]) is list:
-                        heappush(waiting, at)
+                    if old is None:
+                        live += 1
+                    if new in bucket:
+                        waiting = bucket[new]
+                        bucket[new] = waiting = waiting if type(waiting) is list else [waiting]
+                        heappush(waiting, left)
                     else:
-                        bucket[new] = [waiting, at] if waiting < at else [at, waiting]
-                if at == left or left < 0:
-                    break
-                at = left
-                new = pair[at] = rank_of(piece[at:end])
+                        bucket[new] = left
+                        low[new >> 8] |= bit[new & 255]
+                        top |= bit[new >> 8]
+                elif old is not None:
+                    live -= 1
+        for rank in bucket:
+            low[rank >> 8] = 0
         ids, i = [], 0
         while i < n:
             ids.append(self.ranks[piece[i : after[i]]])
@@ -106,7 +130,11 @@ class Codec:
         with open(path, "rb") as lines:
             pairs = [line.split() for line in lines if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.length = np.full(max(self.ranks.values(), default=0) + 1, -1, np.int64)
+        for token, rank in self.ranks.items():
+            self.length[rank] = len(token)
+        self.data = np.frombuffer(b"".join(sorted(self.ranks, key=self.ranks.__getitem__)), np.uint8)
+        self.begin = np.cumsum(np.maximum(self.length, 0)) - np.maximum(self.length, 0)
         self.merger = Merger(self.ranks)
         known = pattern == PATTERN
         unicode_spaces = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
@@ -133,8 +161,15 @@ class Codec:
             out.append(b"".join(parts))
         return b"".join(out)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of many texts, and where each ends, from their ids and where those end."""
+        length = self.length[ids]
+        if len(ids) and length.min() < 0:
+            raise ValueError("an id that the ranks don't have")
+        at = np.cumsum(length)
+        step = np.repeat(self.begin[ids] - at + length, length)
+        step += np.arange(len(step))
+        return self.data[step], np.concatenate([[0], at])[ends]
 
 
 #: The split of byte-level BPE that ``plain`` is written for (fixed value of the public vocabulary).
@@ -182,8 +217,14 @@ def decode_ids(encoded: DataFrame, ranks: str, pattern: str = PATTERN) -> DataFr
     def run(batches):
         decode = codec(ranks, pattern).decode
         for batch in batches:
-            ids = batch.column(1)
-            decoded = [None if row is None else decode(row) for row in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids.cast(schema.field(1).type), pa.array(decoded, pa.binary())], schema=schema)
+            rows = batch.column(1)
+            known = rows.drop_null() if rows.null_count else rows
+            at = known.offsets.to_numpy()
+            data, ends = decode(known.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0])
+            decoded = pa.Array.from_buffers(pa.large_binary(), len(known), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+            if rows.null_count:
+                valid = rows.is_valid().to_numpy(zero_copy_only=False)
+                decoded = decoded.take(pa.array(np.cumsum(valid) - 1, mask=~valid))
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows.cast(schema.field(1).type), decoded], schema=schema)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
