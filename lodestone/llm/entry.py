@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, links, packing, rules, tokens, topk
+from lodestone.llm import bpe, bytenet, chat, links, packing, rules, tokens, topk
 
 
 def tokenizer_file(name: str) -> str:
@@ -66,8 +66,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from four of five folds."""
+    held_out = bytenet.fold(F.col("doc_id"), 5) == 0
+    scores = bytenet.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_similar, op3_chat, op5_quality_rules, op6_top_k, op7_token_counts, op8_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_similar, op3_chat, op5_quality_rules, op6_top_k, op7_token_counts, op8_bpe, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -82,14 +82,11 @@ def cutoffs(rule: str) -> list[float]:
 
 
 def strictness(rule: str) -> Column:
-    """How many of a rule's cutoffs, from the laxest on, reject the document at least down to that one's index.
-
-    The value is the index of the laxest cutoff that rejects it, CUTOFFS if none does.
-    """
+    """The index of the laxest cutoff of a rule that rejects the document, CUTOFFS if none does."""
     top, bottom, _, _, above = RULES[rule]
     ratio = F.col(top) / F.greatest(F.col(bottom), F.lit(1))
-    rejects = [(ratio > c) if above else (ratio < c) for c in cutoffs(rule)]
-    return F.lit(CUTOFFS) - sum((r.cast("int") for r in rejects), F.lit(0))
+    rejecting = F.filter(F.array(*map(F.lit, cutoffs(rule))), lambda c: ratio > c if above else ratio < c)
+    return F.lit(CUTOFFS) - F.size(rejecting)
 
 
 def at_most(k: int, n: int, p: float) -> float:
