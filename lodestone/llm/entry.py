@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, bytenet, chat, links, packing, rules, tokens, topk
+from lodestone.llm import bpe, bytenet, chat, langid, links, packing, rules, tokens, topk
 
 
 def tokenizer_file(name: str) -> str:
@@ -69,12 +69,19 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, learned from four of five folds."""
     held_out = bytenet.fold(F.col("doc_id"), 5) == 0
-    scores = bytenet.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+    scores = bytenet.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.coalesce(held_out, F.lit(False)))
     return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three of four folds."""
+    held_out = bytenet.fold(F.col("doc_id"), 4) == 2
+    found = langid.identify(table(spark, sf_dir, "documents"), F.coalesce(held_out, F.lit(False)))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_similar, op3_chat, op5_quality_rules, op6_top_k, op7_token_counts, op8_bpe, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_packing, op2_similar, op3_chat, op5_quality_rules, op6_top_k, op7_token_counts, op8_bpe, op9_quality_classifier, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
