@@ -15,6 +15,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +29,10 @@ LARGEST_SMALL = 12
 #: In the cost model, checking one candidate costs as much as so many keys.
 CHECK_COST = 8
 #: Frequent shingles: the most that one task reports, the count that it reports from, the count that
-#: matters over all, and the most that are broadcast (about 2.4 MB). They only order the lists.
-LOCAL_FREQUENT, LOCAL_LEAST, LEAST_FREQUENT, MOST_FREQUENT = 20_000, 2, 5, 100_000
+#: matters over all, and the most that are broadcast (about 10 MB). They only order the lists.
+LOCAL_FREQUENT, LOCAL_LEAST, LEAST_FREQUENT, MOST_FREQUENT = 2_000, 4, 5, 400_000
 #: Elements and members of a group that are verified at once; larger groups are split into blocks.
-BLOCK_ELEMENTS, BLOCK_MEMBERS = 500_000, 4_096
+BLOCK_ELEMENTS, BLOCK_MEMBERS = 500_000, 1_024
 #: Keys of one bucket and elements of one verifying task, about.
 BUCKET_KEYS, TASK_ELEMENTS = 1_000_000, 2_000_000
 
@@ -171,6 +172,13 @@ class Order:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[element >> np.uint64(44)] = True
 
+    @classmethod
+    def of(cls, frequent: DataFrame) -> Order:
+        """From element, n and cid; of more than MOST_FREQUENT elements the most frequent count."""
+        top = frequent.where(f"n >= {LEAST_FREQUENT}").orderBy(F.desc("n"), "element").limit(MOST_FREQUENT).toArrow()
+        element, count, owner = (top.column(c).to_numpy() for c in ("element", "n", "cid"))
+        return cls(element.view(np.uint64), count, owner)
+
     def first(self, elements: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Of a sorted set's first elements: the rare ones, and the groups of the frequent ones."""
         rare, groups = elements, np.zeros(0, np.int64)
@@ -257,6 +265,29 @@ def _keys(docs: DataFrame, order: Order, boundary: int, buckets: int, threshold:
     return docs.mapInArrow(run, "bucket int, known boolean, data binary")
 
 
+def _sorted_rows(table: pa.Table, known: bool, *by: int) -> np.ndarray:
+    """The distinct rows of one kind in a bucket (key or group, class, size), in the order of the given columns."""
+    packed = table.filter(pa.compute.equal(table.column("known"), known)).column("data").to_pylist()
+    rows = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(data, np.int64).reshape(-1, 3) for data in packed)])
+    rows = rows[np.lexsort([rows[:, c] for c in reversed(by)])]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    return rows[new]
+
+
+def _frequent_keys(keys: DataFrame) -> DataFrame:
+    """Keys whose lists have LEAST_FREQUENT classes or more: element, n and the smallest class."""
+
+    def of_bucket(table: pa.Table) -> pa.Table:
+        key, cid, _ = _sorted_rows(table, False, 0, 1).T
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(at, len(key)))
+        at, size = at[size >= LEAST_FREQUENT], size[size >= LEAST_FREQUENT]
+        return pa.table({"element": key[at], "n": size, "cid": cid[at]})
+
+    return keys.groupBy("bucket").applyInArrow(of_bucket, "element long, n long, cid long")
+
+
 def _memberships(keys: DataFrame, percent: int) -> DataFrame:
     """Each class with the groups that it is to be verified in.
 
@@ -265,21 +296,14 @@ def _memberships(keys: DataFrame, percent: int) -> DataFrame:
     """
 
     def of_bucket(table: pa.Table) -> pa.Table:
-        sides = {True: [], False: []}
-        for known, data in zip(table.column("known").to_pylist(), table.column("data").to_pylist(), strict=True):
-            sides[known].append(np.frombuffer(data, np.int64).reshape(-1, 3))
-        pairs = [rows[:, :2] for rows in sides[True]]
-        if sides[False]:
-            rows = np.concatenate(sides[False])
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
-            new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-            key, cid, n = rows[new].T
+        pairs = [_sorted_rows(table, True, 0, 1)[:, :2]]
+        key, cid, n = _sorted_rows(table, False, 0, 2, 1).T
+        if len(key):
             at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (100 * n[:-1] < percent * n[1:])]))
             size = np.diff(np.append(at, len(key)))
             shared = np.repeat(size, size) > 1
             pairs.append(np.stack([np.repeat(np.minimum.reduceat(cid, at), size)[shared], cid[shared]], axis=1))
-        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        pairs = np.concatenate(pairs)
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         new = np.ones(len(pairs), bool)
         new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
@@ -434,15 +458,17 @@ def similar_documents(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     docs = columns_of(docs, id_col, text_col)
     docs = docs.select(docs.doc_id.cast("long"), "text")
     facts = written(_facts(docs))
-    frequent = facts.where("kind = 1").groupBy(F.col("doc_id").alias("element")).agg(F.sum("n").alias("n"), F.min("cid").alias("cid"))
-    top = frequent.where(f"n >= {LEAST_FREQUENT}").orderBy(F.desc("n"), "element").limit(MOST_FREQUENT).collect()
-    order = Order(np.array([r.element for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64), np.array([r.cid for r in top], np.int64))
+    seen_often = facts.where("kind = 1").groupBy(F.col("doc_id").alias("element")).agg(F.sum("n").alias("n"), F.min("cid").alias("cid"))
+    order = Order.of(seen_often)
     sizes = facts.where("kind = 2").groupBy("doc_id").agg(F.count("*").alias("tasks"), F.sum("n").alias("n"), F.sum("cid").alias("shared")).collect()
     boundary = choose_boundary([(r.doc_id, r.n, r.shared / max(1, r.n * r.doc_id) * r.tasks) for r in sizes], threshold)
     rows = facts.where("kind = 0")
     elements = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(_partitions(spark), ceil(elements * (100 - percent) / 100 / BUCKET_KEYS))
 
+    # The lists' own lengths tell which shingles are frequent; those then stand last, and the lists are made anew.
+    scanned = written(_frequent_keys(_keys(docs, order, 0, buckets, threshold)))
+    order = Order.of(scanned.unionByName(seen_often).groupBy("element").agg(F.max("n").alias("n"), F.min("cid").alias("cid")))
     groups = written(_memberships(_keys(docs, order, boundary, buckets, threshold), percent))
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     sized = groups.join(classes.select("cid", "n"), "cid")
@@ -460,7 +486,7 @@ def similar_documents(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     counted = links.groupBy("cid").agg(F.sum("n_links").alias("n_links"))
     found = written(rooted.select("cid", "root").join(smallest, "root").join(counted, "cid", "left").select("cid", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    for table in (groups, weight, links):
+    for table in (scanned, groups, weight, links):
         removed(table)
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(found, "cid", "left")
     return out.select("doc_id", "n_shingles", "cid", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
