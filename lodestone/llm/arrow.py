@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +22,18 @@ def columns_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
 
 
+def rows_where(df: DataFrame, text_col: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows for whose texts ``keep`` says so, batch by batch, with all their columns."""
+    small_batches(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of batches, one after another, as tuples."""
     for batch in batches:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrow import columns_of
+from lodestone.llm.arrow import columns_of, rows_where
 
 #: Bytes of a step, steps that a filter reads, steps of half a chunk; values of a byte, filters, units.
 STEP, READ, HALF, DEPTH, FILTERS, UNITS = 4, 3, 32, 6, 24, 16
@@ -208,3 +208,12 @@ def classify(docs: DataFrame, labels: DataFrame, keep_out: Column | None = None,
     docs = docs.select(docs.doc_id.cast("long"), "text")
     net = learned(docs, labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")), F.lit(False) if keep_out is None else keep_out)
     return scored(docs, net).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are predicted to be good, with all their columns; all, if nothing can be learned."""
+    plain = docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").alias("text"))
+    net = learned(plain, labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")), F.lit(False))
+    if net is None:
+        return docs
+    return rows_where(docs, "text", lambda texts: (net.score([(text or "").encode() for text in texts]) >= THRESHOLD).tolist())

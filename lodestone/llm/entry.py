@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, bytenet, chat, langid, links, packing, rules, tokens, topk
+from lodestone.llm import bpe, bytenet, chat, langid, lines, links, packing, rules, tokens, topk
 
 
 def tokenizer_file(name: str) -> str:
@@ -41,6 +41,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of documents that goes as a copy or near duplicate of an earlier one."""
+    return lines.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features and verdict of every document."""
     found = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -81,7 +86,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_similar, op3_chat, op5_quality_rules, op6_top_k, op7_token_counts, op8_bpe, op9_quality_classifier, op10_language)}
+    return {f.__name__: f for f in (op1_packing, op2_similar, op3_chat, op4_line_dedup, op5_quality_rules, op6_top_k, op7_token_counts, op8_bpe, op9_quality_classifier, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

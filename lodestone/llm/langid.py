@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrow import columns_of, rows_of
+from lodestone.llm.arrow import columns_of, rows_of, rows_where
 
 #: n-grams of a profile, documents of a language that are learned from, languages that are told apart.
 PROFILE, SAMPLE_ROWS, LANGUAGES = 400, 20_000, 200
@@ -149,3 +149,11 @@ def predicted(docs: DataFrame, profiles: Profiles) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def with_a_language(docs: DataFrame) -> DataFrame:
+    """The documents whose language can be told (not ``und``), with all their columns; all, if nothing is learned."""
+    profiles = learned(docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").alias("text"), docs.lang.cast("string").alias("lang")), F.lit(False))
+    if not profiles.names:
+        return docs
+    return rows_where(docs, "text", lambda texts: [profiles.nearest(text)[0] != UNKNOWN for text in texts])

@@ -493,10 +493,10 @@ def similar_documents(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
 
 
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Documents without their near copies: of each component the row with the smallest doc_id stays.
+    """Documents without their near copies: of each component the document with the smallest doc_id stays.
 
-    All columns of ``docs`` are kept. Documents without words stay. Of rows that share the smallest
-    doc_id of their component one stays: the one with the smallest text.
+    All columns of ``docs`` are kept. Documents without words stay. Rows with one doc_id and one text
+    are one document; of a doc_id that stands for several texts, all texts stay where one does.
     """
-    found = similar_documents(docs, percent).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_semi")
+    kept = similar_documents(docs, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("id__kept")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("id__kept")), "left_semi").dropDuplicates(["doc_id", "text"])
