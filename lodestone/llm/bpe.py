@@ -163,9 +163,9 @@ class Codec:
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of many texts, and where each ends, from their ids and where those end."""
-        length = self.length[ids]
-        if len(ids) and length.min() < 0:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.length) or self.length[ids].min() < 0):
             raise ValueError("an id that the ranks don't have")
+        length = self.length[ids]
         at = np.cumsum(length)
         step = np.repeat(self.begin[ids] - at + length, length)
         step += np.arange(len(step))
