@@ -26,10 +26,10 @@ def by_category(name: Column, values: dict[str, Column], default: Column) -> Col
     return out
 
 
-def expansion(question: Column) -> Column:
+def expansion(question: Column, name: Column | None = None) -> Column:
     """The question, the aliases of terms in it, and its category's terms, as an array."""
     aliases = [F.when(F.contains(question, F.lit(term)), F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>")) for term, names in V.ALIASES.items()]
-    terms = by_category(category(question), {name: F.array(*map(F.lit, words)) for name, words in V.REWRITE_TERMS.items()}, F.array().cast("array<string>"))
+    terms = by_category(category(question) if name is None else name, {key: F.array(*map(F.lit, words)) for key, words in V.REWRITE_TERMS.items()}, F.array().cast("array<string>"))
     return F.concat(F.array(question), *aliases, terms)
 
 

@@ -165,7 +165,8 @@ def tokens(c: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.char_length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
         return F.when(t.rlike("^[A-Za-z0-9]"), F.array(F.lower(t))).when(F.char_length(t) <= 2, F.array(t)).otherwise(F.concat(F.array(t), pairs))
 
-    return F.flatten(F.transform(F.regexp_extract_all(c, F.lit(TOKEN), 0), parts))
+    latin = F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z0-9]+"), 0), F.lower)
+    return F.when(c.rlike("[一-鿿]"), F.flatten(F.transform(F.regexp_extract_all(c, F.lit(TOKEN), 0), parts))).otherwise(latin)
 
 
 def counted(array: Column) -> Column:

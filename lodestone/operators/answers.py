@@ -53,8 +53,8 @@ def labelled_numbers(text: Column, labels: list[str], reach: int = 160) -> Colum
     squeezed = T.squeeze(text)
 
     def one(label: str) -> Column:
-        tails = F.slice(F.split(squeezed, F.lit("\\Q" + label + "\\E"), -1), 2, 2**31 - 1)
-        rest = F.transform(tails, lambda t: F.regexp_extract_all(F.substring(t, 1, reach), F.lit(T.NUMBER), 0))
+        tails = F.regexp_extract_all(squeezed, F.lit("\\Q" + label + "\\E(?=(.{0," + str(reach) + "}))"), 1)
+        rest = F.transform(tails, lambda t: F.regexp_extract_all(t, F.lit(T.NUMBER), F.lit(0)))
         first = F.get(F.filter(rest, lambda x: F.size(x) > 0), 0)
         value = F.get(first, 0)
         change = F.get(F.filter(first, lambda x: F.endswith(x, F.lit("%")) & (x != value)), 0)

@@ -58,7 +58,7 @@ def toc_sections(blocks: DataFrame, toc: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc").orderBy("page")
     ranges = toc.select("doc", "title", F.col("page").alias("first"), (F.lead("page").over(order) - 1).alias("last"))
     spans = ranges.select("doc", "title", "first", F.when(F.col("last").isNotNull(), F.greatest("first", "last")).otherwise(2**31 - 1).alias("last"))
-    joined = blocks.join(spans, (blocks.doc == spans.doc) & blocks.page.between(spans.first, spans["last"]), "left").drop(spans.doc)
+    joined = blocks.join(spans, (blocks["doc"] == spans["doc"]) & blocks["page"].between(spans["first"], spans["last"]), "left").drop(spans["doc"])
     best = joined.groupBy(*blocks.columns).agg(F.min_by("title", "first").alias("title"))
     return best.withColumn("title", F.coalesce("title", F.lit("Overview")))
 
@@ -137,7 +137,7 @@ def parse_quality(chars: Column, pages: Column, size: Column, ocr_chars: Column
     quality = F.when(enough, dense).when(ocr > 0, F.least(F.lit(1.0), ocr / F.greatest(F.lit(1.0), pages * 900.0))).otherwise(dense)
     return {
         "route": F.when(enough, "text_sufficient").when(ocr > 0, "text_sparse").otherwise("text_fallback"),
-        "quality_score": F.round(quality, 4),
+        "quality_score": F.floor(quality * 10000 + 0.5) / 10000.0,
         "needs_review": F.when(enough, quality < 0.15).when(ocr > 0, quality < 0.25).otherwise(True),
     }
 

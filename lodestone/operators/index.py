@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import query as Q
 from lodestone.functions import text as T
 
 
+def searchable(sep: str = " ") -> Column:
+    return F.concat_ws(sep, "document_title", F.when(F.col("section_title") != "", F.col("section_title")), "text")
+
+
+def own_bonus(name: Column) -> Column:
+    """What a chunk scores in a category without any matched token or target."""
+    section = F.lower(F.coalesce("section_title", F.lit("")))
+    level = F.when(F.col("chunk_level") == "paragraph", 0.15).otherwise(0.05)
+    page = F.when(F.col("page_start").isNull(), 0.0).otherwise(F.least(F.lit(0.2), F.log1p(F.col("page_start").cast("double")) / 20.0) - F.when((name == "financial") & (F.col("page_start") <= 2), 0.1).otherwise(0.0))
+    size = F.char_length("text")
+    length = F.when(size > 1200, -0.05).otherwise(0.0) + F.when(size < 80, -0.1).otherwise(0.0)
+    return Q.section_bonus(section, name) + level + page + length + F.when(name == "financial", Q.metric_bonus(searchable())).otherwise(0.0)
+
+
 @dataclass(frozen=True)
 class Index:
-    """Chunks with their token number, and postings with term frequency and inverse document frequency.
+    """Chunks with their token number and what they score by themselves in each category, and postings with term frequency and inverse document frequency.
 
     ``totals`` is one row: n chunks, their average length.
     """
@@ -23,13 +38,36 @@ class Index:
     totals: DataFrame
 
 
-def build_index(chunks: DataFrame) -> Index:
-    """Tokens of title, section, text and metadata. Term frequencies are counted within the row, without a shuffle;
-    document frequencies are the only aggregation over all postings, and it is pre-aggregated."""
+def tokenised(chunks: DataFrame) -> DataFrame:
+    """Chunks with the tokens of title, section, text and metadata, their number, and their own bonuses."""
     whole = F.concat_ws(" ", "document_title", F.when(F.col("section_title") != "", F.col("section_title")), F.col("text"), "metadata")
-    tokenised = chunks.withColumn("tokens", T.tokens(whole)).withColumn("chunk_len", F.greatest(F.lit(1), F.size("tokens")))
-    postings = tokenised.select("chunk_id", "chunk_len", F.explode(T.counted(F.col("tokens"))).alias("t")).select("chunk_id", "chunk_len", "t.token", F.col("t.n").alias("tf"))
-    totals = tokenised.agg(F.count("*").alias("n_chunks"), F.avg(F.size("tokens")).alias("avg_len"))
+    return chunks.withColumn("tokens", T.tokens(whole)).withColumn("chunk_len", F.greatest(F.lit(1), F.size("tokens"))).withColumn("own", F.array(*(own_bonus(F.lit(c)) for c in Q.CATEGORIES)))
+
+
+def build_index(rows: DataFrame) -> Index:
+    """The index of tokenised chunks; term and document frequencies are pre-aggregated before their shuffles."""
+    postings = rows.select("chunk_id", "chunk_len", F.explode("tokens").alias("token")).groupBy("chunk_id", "chunk_len", "token").agg(F.count("*").alias("tf"))
+    totals = rows.agg(F.count("*").alias("n_chunks"), F.avg(F.size("tokens")).alias("avg_len"))
     frequency = postings.groupBy("token").agg(F.count("*").alias("df"))
-    idf = frequency.join(F.broadcast(totals)).select("token", "df", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return Index(tokenised.drop("tokens"), postings, idf, totals)
+    return Index(rows.drop("tokens"), postings, with_idf(frequency, totals), totals)
+
+
+def with_idf(frequency: DataFrame, totals: DataFrame) -> DataFrame:
+    """Document frequencies with their weight; ``totals`` is one row."""
+    return frequency.join(F.broadcast(totals)).select("token", "df", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
+def saved(chunks: DataFrame, folder: str) -> Index:
+    """The index written as Parquet, postings in the order of tokens, and read from there.
+
+    Chunks are tokenised once; questions then prune columns and push down to the written tables.
+    """
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    built = build_index(kept(tokenised(chunks), "chunks"))
+    postings, totals = kept(built.postings.sortWithinPartitions("token"), "postings"), kept(built.totals, "totals")
+    idf = kept(with_idf(postings.groupBy("token").agg(F.count("*").alias("df")), totals), "idf")
+    return Index(built.chunks, postings, idf, totals)

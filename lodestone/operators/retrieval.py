@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import query as Q
 from lodestone.functions import text as T
 from lodestone.functions import vocabulary as V
-from lodestone.operators.index import Index
+from lodestone.operators.index import Index, own_bonus, searchable
 
 
 @dataclass(frozen=True)
@@ -48,23 +48,14 @@ STRATEGIES = {
 
 
 def understood(questions: DataFrame) -> DataFrame:
-    """Questions (q_id, question) with category, targets and query tokens."""
+    """Questions (q_id, question) with category, targets and query tokens; understood ones stay as they are."""
+    if "tokens" in questions.columns:
+        return questions
     q = F.col("question")
-    return questions.select("q_id", "question", Q.category(q).alias("category"), Q.target_terms(q).alias("targets"), Q.query_tokens(q).alias("tokens"), Q.focus_tokens(q).alias("focus_tokens"))
-
-
-def searchable(sep: str = " ") -> Column:
-    return F.concat_ws(sep, "document_title", F.when(F.col("section_title") != "", F.col("section_title")), "text")
-
-
-def own_bonus(name: Column) -> Column:
-    """What a chunk scores in a category without any matched token or target."""
-    section = F.lower(F.coalesce("section_title", F.lit("")))
-    level = F.when(F.col("chunk_level") == "paragraph", 0.15).otherwise(0.05)
-    page = F.when(F.col("page_start").isNull(), 0.0).otherwise(F.least(F.lit(0.2), F.log1p(F.col("page_start").cast("double")) / 20.0) - F.when((name == "financial") & (F.col("page_start") <= 2), 0.1).otherwise(0.0))
-    size = F.char_length("text")
-    length = F.when(size > 1200, -0.05).otherwise(0.0) + F.when(size < 80, -0.1).otherwise(0.0)
-    return Q.section_bonus(section, name) + level + page + length + F.when(name == "financial", Q.metric_bonus(searchable())).otherwise(0.0)
+    told = questions.select("q_id", "question", Q.category(q).alias("category"), Q.target_terms(q).alias("targets"))
+    told = told.withColumn("expanded", F.array_join(Q.expansion(q, F.col("category")), " "))
+    metrics = T.tokens(F.lit(" ".join(V.METRIC_TERMS)))
+    return told.select("q_id", "question", "category", "targets", Q.without_noise(T.tokens(F.col("expanded"))).alias("tokens"), Q.without_noise(F.concat(T.tokens(F.col("expanded")), metrics)).alias("focus_tokens"))
 
 
 def target_bonus() -> Column:
@@ -87,25 +78,29 @@ def coverage(index: Index, questions: DataFrame, tokens: str = "tokens") -> Data
     return summed.join(whole, "q_id").select("q_id", "chunk_id", (F.col("overlap") / F.greatest(F.lit(0.01), F.col("whole"))).alias("coverage"), ordered.alias("terms"))
 
 
+def category_place(name: Column) -> Column:
+    return Q.by_category(name, {c: F.lit(k) for k, c in enumerate(Q.CATEGORIES)}, F.lit(0))
+
+
 def lexical(index: Index, questions: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """Scored chunks for understood questions: q_id, chunk_id, score (9 decimals), terms, and the chunk's columns.
+    """Scored chunks for understood questions: q_id, chunk_id, score (9 decimals), terms, and the chunk's columns but its text.
 
     Chunks without a common token score by their bonuses alone, so the best of them in each category
     (``config.unmatched``) are enough for any top of fewer rows. Only positive scores stay.
     """
     matched = coverage(index, questions)
-    categories = questions.sparkSession.createDataFrame([(c,) for c in Q.CATEGORIES], "category string")
-    bonus = index.chunks.crossJoin(F.broadcast(categories)).withColumn("own", own_bonus(F.col("category")))
-    best = Window.partitionBy("category").orderBy(F.desc("own"), "chunk_id")
-    spare = bonus.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= config.unmatched).select("category", "chunk_id")
-    asked = questions.select("q_id", "category", "targets")
-    unmatched = asked.join(spare, "category").select("q_id", "chunk_id").join(matched, ["q_id", "chunk_id"], "left_anti")
+    static = index.chunks.select("chunk_id", "doc_id", "document_title", "section_title", "chunk_level", "page_start", "page_end", "parent_chunk_id", "own")
+    each = static.select("chunk_id", F.posexplode("own").alias("place", "bonus"))
+    best = Window.partitionBy("place").orderBy(F.desc("bonus"), "chunk_id")
+    spare = each.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= config.unmatched).select("place", "chunk_id")
+    asked = questions.select("q_id", "category", "targets", category_place(F.col("category")).alias("place"))
+    unmatched = asked.join(spare, "place").select("q_id", "chunk_id").join(matched, ["q_id", "chunk_id"], "left_anti")
     both = matched.unionByName(unmatched.select("q_id", "chunk_id", F.lit(0.0).alias("coverage"), F.array().cast("array<string>").alias("terms")))
-    rows = both.join(index.chunks, "chunk_id").join(asked, "q_id")
+    rows = both.join(static, "chunk_id").join(asked, "q_id")
     title, section = F.lower("document_title"), F.lower(F.coalesce("section_title", F.lit("")))
     hit = F.when(F.exists("terms", lambda t: F.contains(title, t)), 0.8).otherwise(0.0) + F.when(F.exists("terms", lambda t: F.contains(section, t)), 0.4).otherwise(0.0)
-    score = F.round(3.0 * F.col("coverage") + hit + own_bonus(F.col("category")) + target_bonus(), 9)
-    return rows.withColumn("score", score).where("score > 0").withColumn("terms", F.slice("terms", 1, 10))
+    score = F.round(3.0 * F.col("coverage") + hit + F.get("own", F.col("place")) + target_bonus(), 9)
+    return rows.withColumn("score", score).where("score > 0").withColumn("terms", F.slice("terms", 1, 10)).drop("own", "place")
 
 
 def ranked(hits: DataFrame, *order: Column, most: int | None = None, name: str = "rank") -> DataFrame:
@@ -176,7 +171,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     left = vectors.select("chunk_id", F.col("embedding").alias("v"), F.sqrt(dot("embedding", "embedding")).alias("size"))
     right = queries.select("q_id", F.col("embedding").alias("w"), F.sqrt(dot("embedding", "embedding")).alias("q_size"))
-    rows = left.crossJoin(right).where("size > 0 and q_size > 0").select("q_id", "chunk_id", F.round(1 - dot("v", "w") / (F.col("size") * F.col("q_size")), 9).alias("distance"))
+    rows = left.crossJoin(right).where("size > 0 and q_size > 0").select("q_id", "chunk_id", (F.round(1 - dot("v", "w") / (F.col("size") * F.col("q_size")), 9) + 0.0).alias("distance"))
     return ranked(rows, F.col("distance"), most=k)
 
 

@@ -85,7 +85,7 @@ def request_metrics(log: DataFrame, as_of: Column) -> DataFrame:
 
 def recent_in_window(requests: DataFrame, seconds: int = 60) -> DataFrame:
     """Requests (client, at) with the number of the client's requests in the window up to each."""
-    over = Window.partitionBy("client").orderBy(F.col("at").cast("timestamp").cast("double")).rangeBetween(-float(seconds), 0.0)
+    over = Window.partitionBy("client").orderBy(F.unix_micros(F.col("at").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return requests.withColumn("in_window", F.count("*").over(over))
 
 

@@ -7,23 +7,39 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import corpus, retrieval
-from lodestone.operators.index import Index, build_index
+from lodestone.operators.index import Index, saved
+from lodestone.sources import shared
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores, dealt over the cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) == 1 else df
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.chunks(read(spark, sf_dir, "documents"))
+    return corpus.chunks(spread(read(spark, sf_dir, "documents")))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
 
 
+def understood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Understood questions, written to the shared folder: their long expressions are planned and run once."""
+    rows = retrieval.understood(questions(spark, sf_dir))
+    path = f"{shared.shared_folder(spark)}/asked-{shared.unique()}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    return build_index(chunks(spark, sf_dir))
+    """The index of all chunks, written to the shared folder: questions read it many times."""
+    return saved(chunks(spark, sf_dir), f"{shared.shared_folder(spark)}/index-{shared.unique()}")
 
 
 def joined(array) -> F.Column:

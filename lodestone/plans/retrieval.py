@@ -10,12 +10,13 @@ from lodestone.functions import query as Q
 from lodestone.functions import text as T
 from lodestone.functions import vocabulary as V
 from lodestone.operators import retrieval as R
+from lodestone.operators.index import build_index, tokenised
 from lodestone.plans import sql as S
-from lodestone.plans.base import chunks, index, joined, questions, read, vector_hits, vector_ranks
+from lodestone.plans.base import chunks, index, joined, questions, read, understood, vector_hits, vector_ranks
 
 
 def _asked(spark, sf_dir):
-    return R.understood(questions(spark, sf_dir))
+    return understood(spark, sf_dir)
 
 
 def _hits(spark, sf_dir):
@@ -103,9 +104,7 @@ def fusion(spark, sf_dir):
 def financial_focus(spark, sf_dir):
     """Chunks whose section begins like the most frequent word's are the financial sections here."""
     rows = chunks(spark, sf_dir).withColumn("section_title", F.when(F.contains("section_title", F.lit("The")), F.lit("财务报告")).otherwise(F.col("section_title")))
-    from lodestone.operators.index import build_index
-
-    found = R.financial_focus(build_index(rows), _asked(spark, sf_dir), R.RetrievalConfig())
+    found = R.financial_focus(build_index(tokenised(rows)), _asked(spark, sf_dir), R.RetrievalConfig())
     return found.groupBy("q_id").agg(F.count("*").alias("n"))
 
 
@@ -133,13 +132,13 @@ def candidate_text(spark, sf_dir):
 
 
 def retrieve(spark, sf_dir):
-    rows = R.retrieve(index(spark, sf_dir), questions(spark, sf_dir))
+    rows = R.retrieve(index(spark, sf_dir), _asked(spark, sf_dir))
     return rows.select("q_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "document_title")
 
 
 def variants(spark, sf_dir):
     """The first hits of each strategy."""
-    built, asked, vectors = index(spark, sf_dir), questions(spark, sf_dir), vector_ranks(spark, sf_dir, 80)
+    built, asked, vectors = index(spark, sf_dir), _asked(spark, sf_dir), vector_ranks(spark, sf_dir, 80)
     parts = []
     for name, config in R.STRATEGIES.items():
         if name == "vector":

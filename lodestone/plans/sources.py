@@ -105,8 +105,8 @@ _ABS = """CASE WHEN regexp_matches({1}, '^[a-zA-Z]+:') THEN {1} WHEN starts_with
   ELSE regexp_replace(regexp_extract({0}, '^([a-zA-Z]+://[^/?#]+(?:/[^?#]*/)?)', 1), '/$', '') || '/' || {1} END"""
 _HOST = "lower(regexp_extract({0}, '^[a-zA-Z]+://([^/?#]+)', 1))"
 #: Distinct links in the order of their first place.
-_LINKS = """(SELECT page_id, url, link, row_number() OVER (PARTITION BY page_id ORDER BY min(at_)) - 1 AS place FROM
-  (SELECT page_id, url, unnest(ls) AS link, unnest(range(len(ls))) AS at_ FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)<a[^>]+href="([^"]+)"', 1) AS ls FROM pages)) GROUP BY ALL)"""
+_LINKS = """(SELECT page_id, url, link, row_number() OVER (PARTITION BY page_id ORDER BY first_) - 1 AS place FROM
+  (SELECT page_id, url, link, min(at_) AS first_ FROM (SELECT page_id, url, unnest(ls) AS link, unnest(range(len(ls))) AS at_ FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)<a[^>]+href="([^"]+)"', 1) AS ls FROM pages)) GROUP BY ALL))"""
 _NAME = "regexp_extract(regexp_replace({0}, '[?#].*$', ''), '^[a-zA-Z]+://[^/]+/(?:.*/)?([^/]+)/?$', 1)"
 
 
@@ -142,7 +142,7 @@ QUERIES = {
     "s07_text_pages": (text_pages, "SELECT doc_id, CAST(unnest(range(1, len(p) + 1)) AS INTEGER) AS page, CAST(length(unnest(p)) AS INTEGER) AS n_chars FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)"),
     "s09_parse_quality": (
         parse_quality,
-        """SELECT doc_id, CASE WHEN chars >= least_ THEN 'text_sufficient' ELSE 'text_fallback' END AS route, round(quality, 4) AS quality_score, CASE WHEN chars >= least_ THEN quality < 0.15 ELSE TRUE END AS needs_review
+        """SELECT doc_id, CASE WHEN chars >= least_ THEN 'text_sufficient' ELSE 'text_fallback' END AS route, floor(quality * 10000 + 0.5e0) / 10000e0 AS quality_score, CASE WHEN chars >= least_ THEN quality < 0.15 ELSE TRUE END AS needs_review
         FROM (SELECT *, greatest(600, CAST(floor(0.4e0 * greatest(1, size // 1024)) AS INTEGER)) AS least_, least(1e0, chars / pages / 1200e0) AS quality FROM
         (SELECT doc_id, CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS DOUBLE) AS chars, greatest(1, len(string_split(text, chr(10)))) AS pages, strlen(text) * 40 AS size FROM documents))""",
     ),

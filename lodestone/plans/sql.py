@@ -209,7 +209,7 @@ vec AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS
 sized AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM vec),
 near AS (
   SELECT b.item_id AS q_id, c.vec_id || '-1' AS chunk_id, c.vec_id AS doc_id,
-    round(1 - list_sum(list_transform(list_zip(c.v, s.v), lambda z: z[1] * z[2])) / (c.size * s.size), 9) AS distance
+    round(1 - list_sum(list_transform(list_zip(c.v, s.v), lambda z: z[1] * z[2])) / (c.size * s.size), 9) + 0e0 AS distance
   FROM benchmark b JOIN sized s ON s.vec_id = b.item_id, sized c WHERE c.size > 0 AND s.size > 0),
 vhits AS (SELECT n.q_id, n.chunk_id, n.distance, n.rank, c.document_title, c.section_title, c.page_start, c.page_end, c.text
   FROM ({ranked("near", "distance")}) n JOIN chunks c USING (chunk_id)),

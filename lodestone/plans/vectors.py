@@ -12,7 +12,7 @@ from lodestone.plans.base import read
 def hash_embedding(spark, sf_dir):
     v = F.col("v")
     rows = read(spark, sf_dir, "documents").select("doc_id", T.hash_embedding(F.col("text")).alias("v"))
-    return rows.select("doc_id", F.size(v).alias("dimension"), F.round(v[0], 6).alias("first"), F.round(v[1023], 6).alias("last"), F.round(F.aggregate(F.slice(v, 1, 32), F.lit(0.0), lambda s, x: s + x), 6).alias("sum_of_cycle"))
+    return rows.select("doc_id", F.size(v).alias("dimension"), F.round(v[0], 6).alias("first"), F.round(v[1023], 6).alias("last"), (F.round(F.aggregate(F.slice(v, 1, 32), F.lit(0.0), lambda s, x: s + x), 4) + 0.0).alias("sum_of_cycle"))
 
 
 def literals(spark, sf_dir):
@@ -70,7 +70,7 @@ QUERIES = {
     "v01_hash_embedding": (
         hash_embedding,
         """WITH h AS (SELECT doc_id, list_transform(range(0, 1024), lambda i: ((strpos('0123456789abcdef', substring(d, (i % 32) * 2 + 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substring(d, (i % 32) * 2 + 2, 1)) - 1) / 255e0 * 2 - 1) AS v FROM (SELECT doc_id, sha256(text) AS d FROM documents))
-        SELECT doc_id, CAST(len(v) AS INTEGER) AS dimension, round(v[1], 6) AS first, round(v[1024], 6) AS last, round(list_sum(v[1:32]), 6) AS sum_of_cycle FROM h""",
+        SELECT doc_id, CAST(len(v) AS INTEGER) AS dimension, round(v[1], 6) AS first, round(v[1024], 6) AS last, round(list_sum(v[1:32]), 4) + 0e0 AS sum_of_cycle FROM h""",
     ),
     "v02_vector_literal": (literals, "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', CAST(x AS DOUBLE))), ',') || ']' AS literal FROM embeddings"),
     "v03_missing_embeddings": (
