@@ -27,7 +27,8 @@ def own_bonus(name: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """Chunks with their token number and what they score by themselves in each category, and postings with term frequency and inverse document frequency.
+    """Chunks with their token number and what they score by themselves in each category, postings with term
+    frequency and whether title and section contain the token, and inverse document frequencies.
 
     ``totals`` is one row: n chunks, their average length.
     """
@@ -46,7 +47,10 @@ def tokenised(chunks: DataFrame) -> DataFrame:
 
 def build_index(rows: DataFrame) -> Index:
     """The index of tokenised chunks; term and document frequencies are pre-aggregated before their shuffles."""
-    postings = rows.select("chunk_id", "chunk_len", F.explode("tokens").alias("token")).groupBy("chunk_id", "chunk_len", "token").agg(F.count("*").alias("tf"))
+    title, section = F.lower("document_title").alias("title"), F.lower(F.coalesce("section_title", F.lit(""))).alias("section")
+    each = rows.select("chunk_id", "chunk_len", title, section, F.explode("tokens").alias("token"))
+    inside = lambda c: F.max(F.contains(F.col(c), F.col("token"))).alias(f"in_{c}")
+    postings = each.groupBy("chunk_id", "chunk_len", "token").agg(F.count("*").alias("tf"), inside("title"), inside("section"))
     totals = rows.agg(F.count("*").alias("n_chunks"), F.avg(F.size("tokens")).alias("avg_len"))
     frequency = postings.groupBy("token").agg(F.count("*").alias("df"))
     return Index(rows.drop("tokens"), postings, with_idf(frequency, totals), totals)

@@ -62,20 +62,32 @@ def target_bonus() -> Column:
     return F.when(F.size("targets") == 0, 0.0).when(Q.matches_targets(F.col("document_title"), F.col("targets")), 0.3).otherwise(-0.7)
 
 
+def _weighed(index: Index, questions: DataFrame, tokens: str) -> DataFrame:
+    asked = questions.select("q_id", F.explode(T.counted(F.col(tokens))).alias("t")).select("q_id", "t.token", F.col("t.n").alias("qtf"))
+    return asked.join(index.idf, "token", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
+
+
 def coverage(index: Index, questions: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """For each question and chunk with a common token: q_id, chunk_id, coverage, terms (by idf).
+    """For each question and chunk with a common token: q_id, chunk_id, coverage, in_title, in_section.
 
     The query's tokens meet the postings by an equi-join, in which the smaller side is broadcast only
     if it is small enough, and partial sums go before the shuffle.
     """
-    asked = questions.select("q_id", F.explode(T.counted(F.col(tokens))).alias("t")).select("q_id", "t.token", F.col("t.n").alias("qtf"))
-    weighed = asked.join(index.idf, "token", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
+    weighed = _weighed(index, questions, tokens)
     whole = weighed.groupBy("q_id").agg(F.sum(F.col("idf") * F.col("qtf")).alias("whole"))
-    found = index.postings.join(weighed.where("df is not null"), "token").join(F.broadcast(index.totals))
+    found = index.postings.join(weighed.where("df is not null").select("q_id", "token", "idf"), "token").join(F.broadcast(index.totals))
     strength = F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("chunk_len") / F.col("avg_len")))
-    summed = found.groupBy("q_id", "chunk_id").agg(F.sum(F.col("idf") * strength).alias("overlap"), F.collect_list(F.struct((-F.col("idf")).alias("less"), "token")).alias("terms"))
-    ordered = F.transform(F.array_sort("terms"), lambda t: t["token"])
-    return summed.join(whole, "q_id").select("q_id", "chunk_id", (F.col("overlap") / F.greatest(F.lit(0.01), F.col("whole"))).alias("coverage"), ordered.alias("terms"))
+    summed = found.groupBy("q_id", "chunk_id").agg(F.sum(F.col("idf") * strength).alias("overlap"), F.max("in_title").alias("in_title"), F.max("in_section").alias("in_section"))
+    return summed.join(whole, "q_id").select("q_id", "chunk_id", (F.col("overlap") / F.greatest(F.lit(0.01), F.col("whole"))).alias("coverage"), "in_title", "in_section")
+
+
+def with_terms(hits: DataFrame, index: Index, questions: DataFrame, tokens: str = "tokens", most: int = 10) -> DataFrame:
+    """Hits with the common tokens that weigh most: terms. Only the given hits' postings are looked up."""
+    asked = _weighed(index, questions, tokens).where("df is not null").select("q_id", "token", "idf")
+    found = hits.select("q_id", "chunk_id").join(asked, "q_id").join(index.postings.select("chunk_id", "token"), ["chunk_id", "token"])
+    terms = found.groupBy("q_id", "chunk_id").agg(F.collect_list(F.struct((-F.col("idf")).alias("less"), "token")).alias("terms"))
+    ordered = F.slice(F.transform(F.array_sort("terms"), lambda t: t["token"]), 1, most)
+    return hits.join(terms.select("q_id", "chunk_id", ordered.alias("terms")), ["q_id", "chunk_id"], "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
 
 
 def category_place(name: Column) -> Column:
@@ -83,7 +95,7 @@ def category_place(name: Column) -> Column:
 
 
 def lexical(index: Index, questions: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """Scored chunks for understood questions: q_id, chunk_id, score (9 decimals), terms, and the chunk's columns but its text.
+    """Scored chunks for understood questions: q_id, chunk_id, score (9 decimals), and the chunk's columns but its text.
 
     Chunks without a common token score by their bonuses alone, so the best of them in each category
     (``config.unmatched``) are enough for any top of fewer rows. Only positive scores stay.
@@ -95,12 +107,11 @@ def lexical(index: Index, questions: DataFrame, config: RetrievalConfig = Retrie
     spare = each.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= config.unmatched).select("place", "chunk_id")
     asked = questions.select("q_id", "category", "targets", category_place(F.col("category")).alias("place"))
     unmatched = asked.join(spare, "place").select("q_id", "chunk_id").join(matched, ["q_id", "chunk_id"], "left_anti")
-    both = matched.unionByName(unmatched.select("q_id", "chunk_id", F.lit(0.0).alias("coverage"), F.array().cast("array<string>").alias("terms")))
+    both = matched.unionByName(unmatched.select("q_id", "chunk_id", F.lit(0.0).alias("coverage"), F.lit(False).alias("in_title"), F.lit(False).alias("in_section")))
     rows = both.join(static, "chunk_id").join(asked, "q_id")
-    title, section = F.lower("document_title"), F.lower(F.coalesce("section_title", F.lit("")))
-    hit = F.when(F.exists("terms", lambda t: F.contains(title, t)), 0.8).otherwise(0.0) + F.when(F.exists("terms", lambda t: F.contains(section, t)), 0.4).otherwise(0.0)
+    hit = F.when(F.col("in_title"), 0.8).otherwise(0.0) + F.when(F.col("in_section"), 0.4).otherwise(0.0)
     score = F.round(3.0 * F.col("coverage") + hit + F.get("own", F.col("place")) + target_bonus(), 9)
-    return rows.withColumn("score", score).where("score > 0").withColumn("terms", F.slice("terms", 1, 10)).drop("own", "place")
+    return rows.withColumn("score", score).where("score > 0").drop("own", "place", "in_title", "in_section")
 
 
 def ranked(hits: DataFrame, *order: Column, most: int | None = None, name: str = "rank") -> DataFrame:
@@ -245,13 +256,12 @@ def retrieve(index: Index, questions: DataFrame, config: RetrievalConfig = Retri
     order = focus.unionByName(order.join(focus.select("q_id", "chunk_id"), ["q_id", "chunk_id"], "left_anti"))
     first = ranked(order, F.col("tier"), F.desc("score"), most=max(config.top_k, config.candidates), name="place")
     rows = first.join(index.chunks, "chunk_id").join(asked.select("q_id", "category", "targets"), "q_id")
-    terms = scored.select("q_id", "chunk_id", "terms")
-    rows = rows.join(terms, ["q_id", "chunk_id"], "left")
     if config.rerank:
         rows = rows.withColumn("score", F.round(F.col("score") + rerank_bonus(), 9))
         rows = ranked(rows, F.desc("score"), most=config.top_k)
     else:
         rows = ranked(rows, F.col("tier"), F.desc("score"), most=config.top_k)
+    rows = with_terms(rows, index, asked)
     return rows.select("q_id", "rank", "chunk_id", "score", "terms", "document_title", "section_title", "chunk_level", "page_start", "page_end", "text", "doc_id")
 
 

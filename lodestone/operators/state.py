@@ -91,7 +91,7 @@ def recent_in_window(requests: DataFrame, seconds: int = 60) -> DataFrame:
 
 def rate_limited(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
     """Requests (client, seq, at) with ``rejected``: a client has ``limit`` accepted ones in the window; rejected ones don't count."""
-    schema = "client long, seq long, rejected boolean"
+    schema = f"client {dict(requests.dtypes)['client']}, seq long, rejected boolean"
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["at", "seq"])

@@ -128,7 +128,8 @@ QUERIES = {
     "a01_prompts": (
         prompts,
         f"""WITH {S.VECTOR_HITS} SELECT q_id, md5('Answer only from the sources and cite them as [n].' || chr(10) || chr(10) || 'Question: ' || any_value(b.text) || chr(10) || chr(10)
-        || string_agg('[' || rank || '] ' || document_title || chr(10) || substring({S.squeeze("v.text")}, 1, 700), chr(10) || chr(10) ORDER BY rank)) AS digest FROM vhits v JOIN benchmark b ON b.item_id = v.q_id WHERE rank <= 6 GROUP BY q_id""",
+        || string_agg('[' || place || '] ' || document_title || chr(10) || substring({S.squeeze("v.text")}, 1, 700), chr(10) || chr(10) ORDER BY rank)) AS digest
+        FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY rank) AS place FROM vhits WHERE rank <= 6) v JOIN benchmark b ON b.item_id = v.q_id GROUP BY q_id""",
     ),
     "a02_best_sentences": (best_sentences, f"WITH {_H} SELECT q_id, rank, md5(sentence) AS digest FROM best"),
     "a03_extractive_answers": (extractive_answers, f"WITH {_H} SELECT q_id, {_ANSWER} AS answer FROM best WHERE rank <= 3 GROUP BY q_id"),

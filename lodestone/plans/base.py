@@ -68,7 +68,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("idx", "line"))
+    return spread(read(spark, sf_dir, "documents")).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("idx", "line"))
 
 
 ALL_LINES_SQL = "(SELECT doc_id, unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))) AS line FROM documents)"

@@ -52,7 +52,8 @@ def metric_bonus(spark, sf_dir):
 
 
 def matched_terms(spark, sf_dir):
-    rows = R.ranked(_hits(spark, sf_dir), F.desc("score"), most=5)
+    built, asked = index(spark, sf_dir), _asked(spark, sf_dir)
+    rows = R.with_terms(R.ranked(R.lexical(built, asked), F.desc("score"), most=5), built, asked)
     return rows.select("q_id", "chunk_id", F.size("terms").alias("n_terms"), joined(F.array_sort("terms")).alias("terms"))
 
 

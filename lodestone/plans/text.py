@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import corpus, state
 from lodestone.plans import sql as S
-from lodestone.plans.base import ALL_LINES_SQL, all_lines, read
+from lodestone.plans.base import ALL_LINES_SQL, all_lines, read, spread
 
 
 def _docs(spark, sf_dir):
-    return read(spark, sf_dir, "documents")
+    return spread(read(spark, sf_dir, "documents"))
 
 
 def normalize_whitespace(spark, sf_dir):
