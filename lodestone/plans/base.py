@@ -31,10 +31,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def understood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Understood questions, written to the shared folder: their long expressions are planned and run once."""
-    rows = retrieval.understood(questions(spark, sf_dir))
-    path = f"{shared.shared_folder(spark)}/asked-{shared.unique()}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return shared.kept(retrieval.understood(questions(spark, sf_dir)))
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:

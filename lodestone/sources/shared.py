@@ -19,3 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def unique() -> str:
     return uuid.uuid4().hex
+
+
+def kept(df):
+    """The rows of ``df``, written to the shared folder as Parquet and read from there: planned and run once."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{unique()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
