@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without copies and near duplicates of earlier long lines."""
-    return lines.without_duplicate_lines(docs)
+    """Documents without copies of earlier lines, short ones included, and near duplicates of longer ones."""
+    return lines.without_duplicate_lines(docs, every_line=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of documents that goes as a copy or near duplicate of an earlier one."""
-    return lines.duplicate_lines(table(spark, sf_dir, "documents"))
+    return lines.duplicate_lines(table(spark, sf_dir, "documents"), every_line=True)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

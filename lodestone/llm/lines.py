@@ -20,8 +20,9 @@ from lodestone.llm.shared import removed, written
 from lodestone.llm.shingles import mix, powers
 
 #: Edits (insertions, deletions, substitutions of a character) that still make a near duplicate, and
-#: the characters from which a line takes part. Shorter lines are always kept.
-EDITS, LEAST_CHARS = 2, 40
+#: the characters from which a line takes part in the edit join: segments of four at least. Two edits
+#: turn shorter lines into other words. Exact copies of shorter lines are found with ``every_line``.
+EDITS, LEAST_CHARS = 2, 12
 #: Bits of the filter that picks the texts of lines that met another: 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
 #: Keys of one bucket, characters of one verifying task, lines of one block of a large group, about.
@@ -30,14 +31,17 @@ _BINS = 16
 
 
 class Lines:
-    """The lines of a batch of texts that take part: texts, their document's row, number and hashes."""
+    """The lines of a batch of texts that take part: texts, their document's row, number and hashes.
 
-    def __init__(self, texts: list[str | None]):
+    Those are lines of LEAST_CHARS characters or more, with ``every_line`` all that aren't blank too.
+    """
+
+    def __init__(self, texts: list[str | None], every_line: bool = False):
         self.text, self.row, self.number = [], [], []
         for row, text in enumerate(texts):
             if text:
                 for number, line in enumerate(text.split("\n")):
-                    if len(line) >= LEAST_CHARS:
+                    if len(line) >= LEAST_CHARS or every_line and line.strip():
                         self.text.append(line)
                         self.row.append(row)
                         self.number.append(number)
@@ -147,13 +151,13 @@ def earliest_near(lines: list[str], earlier: list[bool] | None = None) -> list[i
     return found
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
+def _occurrences(docs: DataFrame, every_line: bool) -> DataFrame:
     """Every line that takes part: h, doc_id, line_no."""
     schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32())])
 
     def run(batches):
         for batch in batches:
-            lines = Lines(batch.column(1).to_pylist())
+            lines = Lines(batch.column(1).to_pylist(), every_line)
             yield pa.RecordBatch.from_arrays([pa.array(lines.hash), batch.column(0).take(pa.array(lines.row, pa.int64())), pa.array(lines.number, pa.int32())], schema=schema)
 
     return docs.mapInArrow(run, "h long, doc_id long, line_no int")
@@ -278,11 +282,11 @@ def _near(members: DataFrame) -> DataFrame:
     return members.groupBy("task").applyInArrow(of_task, "h long, like_doc long, like_line int")
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every_line: bool = False) -> DataFrame:
     """Lines to remove: doc_id, line_no (from 0, between \\n), like_doc, like_line and edits_apart (boolean).
 
-    Lines of at least LEAST_CHARS characters take part. Distinct lines stand in the order of their
-    first place (doc_id, line_no). A line within EDITS edits of an earlier distinct line goes
+    Lines of at least LEAST_CHARS characters take part; with ``every_line`` exact copies of shorter
+    ones go too, blank ones apart. Distinct lines stand in the order of their first place (doc_id, line_no). A line of LEAST_CHARS characters or more within EDITS edits of such an earlier distinct line goes
     everywhere (edits_apart; like_* is the first such line's place); of another line all but the
     first place goes. Rows with equal doc_id count as the same places, so exactly repeated rows all
     keep the line. A null doc_id comes first. Null and empty texts and empty tables have no lines;
@@ -291,7 +295,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     docs = columns_of(docs, id_col, text_col)
     docs = docs.select(docs.doc_id.cast("long"), "text")
-    places = written(_occurrences(docs))
+    places = written(_occurrences(docs, every_line))
     first = written(places.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, ceil(first.count() * 15 / BUCKET_KEYS))
@@ -314,13 +318,13 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return judged.select("doc_id", "line_no", F.when(F.col("like").isNotNull(), F.col("like.like_doc")).otherwise(F.col("first.doc_id")).alias("like_doc"), F.when(F.col("like").isNotNull(), F.col("like.like_line")).otherwise(F.col("first.line_no")).alias("like_line"), F.col("like").isNotNull().alias("edits_apart"))
 
 
-def without_duplicate_lines(docs: DataFrame) -> DataFrame:
+def without_duplicate_lines(docs: DataFrame, every_line: bool = False) -> DataFrame:
     """Documents without the lines that ``duplicate_lines`` names; all other lines and columns stay.
 
     n_chars, where there is one, follows the text. A document of which nothing but white space is
     left, though it had more before, goes: all its lines stand elsewhere.
     """
-    gone = duplicate_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("lines__gone"))
+    gone = duplicate_lines(docs, every_line=every_line).groupBy("doc_id").agg(F.collect_set("line_no").alias("lines__gone"))
     joined = docs.join(gone.withColumnRenamed("doc_id", "id__gone"), docs.doc_id.eqNullSafe(F.col("id__gone")), "left")
     numbered = F.transform(F.split("text", "\n", -1), lambda x, k: F.struct(x.alias("line"), k.alias("k")))
     kept = F.filter(numbered, lambda x: ~F.array_contains("lines__gone", x["k"]))
