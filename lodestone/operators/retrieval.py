@@ -31,8 +31,6 @@ class RetrievalConfig:
     expansion_siblings: int = 4
     rerank_chars: int = 1800
     recall_weight: float = 0.5
-    #: Unmatched chunks of each category that are scored by their own bonuses alone.
-    unmatched: int = 200
 
     def fingerprint(self) -> Column:
         return F.sha2(F.lit(repr(sorted(asdict(self).items()))), 256)
@@ -97,21 +95,20 @@ def category_place(name: Column) -> Column:
 def lexical(index: Index, questions: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """Scored chunks for understood questions: q_id, chunk_id, score (9 decimals), and the chunk's columns but its text.
 
-    Chunks without a common token score by their bonuses alone, so the best of them in each category
-    (``config.unmatched``) are enough for any top of fewer rows. Only positive scores stay.
+    Each question meets every chunk, as those without a common token score by their bonuses; a
+    question with a true ``isolated`` (see ``with_isolation``) only its targets' chunks. Only positive scores stay.
     """
     matched = coverage(index, questions)
     static = index.chunks.select("chunk_id", "doc_id", "document_title", "section_title", "chunk_level", "page_start", "page_end", "parent_chunk_id", "own")
-    each = static.select("chunk_id", F.posexplode("own").alias("place", "bonus"))
-    best = Window.partitionBy("place").orderBy(F.desc("bonus"), "chunk_id")
-    spare = each.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= config.unmatched).select("place", "chunk_id")
-    asked = questions.select("q_id", "category", "targets", category_place(F.col("category")).alias("place"))
-    unmatched = asked.join(spare, "place").select("q_id", "chunk_id").join(matched, ["q_id", "chunk_id"], "left_anti")
-    both = matched.unionByName(unmatched.select("q_id", "chunk_id", F.lit(0.0).alias("coverage"), F.lit(False).alias("in_title"), F.lit(False).alias("in_section")))
-    rows = both.join(static, "chunk_id").join(asked, "q_id")
+    asked = questions.select("q_id", "category", "targets", category_place(F.col("category")).alias("place"), *(["isolated"] if "isolated" in questions.columns else []))
+    pairs = static.crossJoin(F.broadcast(asked))
+    if "isolated" in questions.columns:
+        pairs = pairs.where(~F.col("isolated") | Q.matches_targets(F.col("document_title"), F.col("targets"))).drop("isolated")
+    pairs = pairs.withColumn("alone", F.get("own", F.col("place"))).withColumn("aimed", target_bonus()).drop("own", "place")
+    rows = pairs.join(matched, ["q_id", "chunk_id"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
     hit = F.when(F.col("in_title"), 0.8).otherwise(0.0) + F.when(F.col("in_section"), 0.4).otherwise(0.0)
-    score = F.round(3.0 * F.col("coverage") + hit + F.get("own", F.col("place")) + target_bonus(), 9)
-    return rows.withColumn("score", score).where("score > 0").drop("own", "place", "in_title", "in_section")
+    score = F.round(3.0 * F.col("coverage") + hit + F.col("alone") + F.col("aimed"), 9)
+    return rows.withColumn("score", score).where("score > 0").drop("alone", "aimed", "in_title", "in_section")
 
 
 def ranked(hits: DataFrame, *order: Column, most: int | None = None, name: str = "rank") -> DataFrame:
@@ -121,13 +118,25 @@ def ranked(hits: DataFrame, *order: Column, most: int | None = None, name: str =
 
 
 def isolated(hits: DataFrame, top_k: int) -> DataFrame:
-    """Only target documents' hits, for questions with targets that at least twice top_k hits match."""
+    """Only target documents' hits, for questions with targets that at least twice top_k of the given hits match.
+
+    ``retrieve`` counts chunks of the corpus instead: see ``with_isolation``.
+    """
     match = (F.size("targets") > 0) & Q.matches_targets(F.col("document_title"), F.col("targets"))
     n = F.count_if("match__").over(Window.partitionBy("q_id"))
     out = hits.withColumn("match__", match).withColumn("n__", n)
     return out.where(F.col("match__") | (F.col("n__") < 2 * top_k)).drop("match__", "n__")
 
 
+def with_isolation(questions: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
+    """Questions with ``isolated``: whether they have targets that at least twice top_k chunks of the corpus match."""
+    sets = questions.where(F.size("targets") > 0).select("targets").distinct()
+    titles = chunks.groupBy("document_title").agg(F.count("*").alias("n"))
+    found = titles.join(F.broadcast(sets), Q.matches_targets(F.col("document_title"), F.col("targets"))).groupBy("targets").agg(F.sum("n").alias("n__"))
+    enough = F.coalesce(F.col("n__") >= 2 * top_k, F.lit(False))
+    return questions.join(F.broadcast(found), "targets", "left").withColumn("isolated", enough).select(*questions.columns, "isolated")
+
+
 def category_fallback(hits: DataFrame, index: Index, questions: DataFrame, config: RetrievalConfig) -> DataFrame:
     """Paragraphs of target documents with a category term that aren't hits yet, below the top_k-th score: q_id, chunk_id, score."""
     if config.top_k < config.fallback_from:
@@ -243,14 +252,17 @@ def retrieve(index: Index, questions: DataFrame, config: RetrievalConfig = Retri
     Ranks are dense and chunks stand once. Questions are (q_id, question); ``vectors`` (q_id,
     chunk_id, rank) are used if the configuration says so.
     """
-    asked = understood(questions)
-    scored = isolated(lexical(index, asked, config), config.top_k)
+    asked = with_isolation(understood(questions), index.chunks, config.top_k)
+    scored = lexical(index, asked, config)
     paragraphs = scored.where("chunk_level <> 'chapter'")
     order = paragraphs.select("q_id", "chunk_id", F.lit(1).alias("tier"), "score")
     order = order.unionByName(category_fallback(paragraphs, index, asked, config).withColumn("tier", F.lit(1)))
     if config.top_k >= config.fallback_from:
         order = order.unionByName(context_expansion(paragraphs, index.chunks, asked, config).drop("seed").withColumn("tier", F.lit(1)))
     if config.vector and vectors is not None:
+        titles = index.chunks.select("chunk_id", "document_title")
+        vectors = vectors.join(titles, "chunk_id", "left").join(F.broadcast(asked.select("q_id", "isolated", "targets")), "q_id", "left")
+        vectors = vectors.where(~F.coalesce("isolated", F.lit(False)) | Q.matches_targets(F.col("document_title"), F.col("targets"))).select("q_id", "chunk_id", "rank")
         order = fused(order.drop("tier"), vectors, config).withColumn("tier", F.col("tier") + 1)
     focus = financial_focus(index, asked, config).withColumn("tier", F.lit(0))
     order = focus.unionByName(order.join(focus.select("q_id", "chunk_id"), ["q_id", "chunk_id"], "left_anti"))
