@@ -249,7 +249,8 @@ def candidate_text(most: int = 1800) -> Column:
 def retrieve(index: Index, questions: DataFrame, config: RetrievalConfig = RetrievalConfig(), vectors: DataFrame | None = None) -> DataFrame:
     """The final hits of each question: q_id, rank, chunk_id, score, terms and the chunk's columns.
 
-    Ranks are dense and chunks stand once. Questions are (q_id, question); ``vectors`` (q_id,
+    Ranks are dense and chunks stand once. Paragraphs come first, chapters fill up to top_k; a question with
+    targets gets theirs alone if at least min(3, top_k) hits match. Questions are (q_id, question); ``vectors`` (q_id,
     chunk_id, rank) are used if the configuration says so.
     """
     asked = with_isolation(understood(questions), index.chunks, config.top_k)
@@ -273,10 +274,28 @@ def retrieve(index: Index, questions: DataFrame, config: RetrievalConfig = Retri
         rows = ranked(rows, F.desc("score"), most=config.top_k)
     else:
         rows = ranked(rows, F.col("tier"), F.desc("score"), most=config.top_k)
+    chapters = scored.where("chunk_level = 'chapter'").select("q_id", "chunk_id", "score", "document_title", "targets")
+    rows = completed(rows.select("q_id", "chunk_id", "score", "document_title", "targets", "rank"), chapters, config.top_k)
+    rows = rows.select("q_id", "rank", "chunk_id", "score").join(index.chunks, "chunk_id")
     rows = with_terms(rows, index, asked)
     return rows.select("q_id", "rank", "chunk_id", "score", "terms", "document_title", "section_title", "chunk_level", "page_start", "page_end", "text", "doc_id")
 
 
+def completed(rows: DataFrame, chapters: DataFrame, top_k: int) -> DataFrame:
+    """Ranked hits (q_id, rank, chunk_id, document_title, targets), filled up to top_k with chapters by their scores; then only
+    targets' hits, where at least min(3, top_k) are. Ranks stay dense; both tables have the same columns but the chapters' rank."""
+    extra = ranked(chapters, F.desc("score"), most=top_k)
+    both = rows.withColumn("extra__", F.lit(0)).unionByName(extra.withColumn("extra__", F.lit(1)))
+    once = Window.partitionBy("q_id", "chunk_id").orderBy("extra__", "rank")
+    both = both.withColumn("nth__", F.row_number().over(once)).where("nth__ = 1").drop("nth__")
+    order = Window.partitionBy("q_id").orderBy("extra__", "rank")
+    both = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).drop("extra__")
+    match = (F.size("targets") > 0) & Q.matches_targets(F.col("document_title"), F.col("targets"))
+    n = F.count_if("match__").over(Window.partitionBy("q_id"))
+    left = both.withColumn("match__", match).withColumn("n__", n).where(F.col("match__") | (F.col("n__") < min(3, top_k))).drop("match__", "n__")
+    return left.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("rank")))
+
+
 def for_company(hits: DataFrame, company: str) -> DataFrame:
     """Hits whose title contains a name, as the comparison of companies filters them after the top."""
     return hits.where(F.contains(F.lower("document_title"), F.lower(F.lit(company))))
