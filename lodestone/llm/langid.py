@@ -152,8 +152,11 @@ def predicted(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def with_a_language(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told (not ``und``), with all their columns; all, if nothing is learned."""
+    """The documents whose language can be told, with all their columns; all, if nothing is learned.
+
+    It can't for ``und``, nor with score 0: such a text is as far out of place as can be for every language.
+    """
     profiles = learned(docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").alias("text"), docs.lang.cast("string").alias("lang")), F.lit(False))
     if not profiles.names:
         return docs
-    return rows_where(docs, "text", lambda texts: [profiles.nearest(text)[0] != UNKNOWN for text in texts])
+    return rows_where(docs, "text", lambda texts: [name != UNKNOWN and score > 0 for name, score in map(profiles.nearest, texts)])
