@@ -24,20 +24,20 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 
 
 def _prefixes(turns: DataFrame) -> DataFrame:
-    """The rolling hash after each turn: conv_id, turn, n (turns so far), h0 to h3, last (no turn follows).
+    """The rolling hash after each row, in the order of turn, role, text: conv_id, turn, n (rows so far), h0 to h3, last (no row follows).
 
     Sums roll within parts of PART_TURNS turns, and over the parts' sums, so that no task needs all
     turns of a long conversation at once.
     """
     names = [f"h{k}" for k in range(len(SEEDS))]
-    each = turns.select("conv_id", "turn", F.floor(F.col("turn") / PART_TURNS).alias("part"), *(_turn_hash(s).alias(c) for s, c in zip(SEEDS, names, strict=True)))
-    at = each.groupBy("conv_id", "part", "turn").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in names))
-    by_part = at.groupBy("conv_id", "part").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names))
+    each = turns.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / PART_TURNS).alias("part"), *(_turn_hash(s).alias(c) for s, c in zip(SEEDS, names, strict=True)))
+    by_part = each.groupBy("conv_id", "part").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in names))
     over = Window.partitionBy("conv_id").orderBy("part")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     parts = by_part.select("conv_id", "part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ["n", *names]), (F.lead("part").over(over).isNull()).alias("last_part"))
-    within = Window.partitionBy("conv_id", "part").orderBy("turn")
-    rolling = at.select("conv_id", "part", "turn", *(F.sum(c).over(within).alias(c) for c in ["n", *names]), F.lead("turn").over(within).isNull().alias("last_here"))
+    within = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    rolling = each.select("conv_id", "part", "turn", F.count("*").over(so_far).alias("n"), *(F.sum(c).over(so_far).alias(c) for c in names), F.lead("turn").over(within).isNull().alias("last_here"))
     joined = rolling.join(parts, ["conv_id", "part"])
     return joined.select("conv_id", "turn", *((F.col(c) + F.col(f"{c}_before")).alias(c) for c in ["n", *names]), (F.col("last_part") & F.col("last_here")).alias("last"))
 
