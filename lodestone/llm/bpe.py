@@ -12,11 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.arrow import columns_of, rows_of
+from lodestone.llm.arrow import columns_of, rows_of, tidy
 from lodestone.llm.tokens import _ODD, _SPLIT, safe_pieces
 
 #: Rows and bytes of ids of one output batch.
-OUT_ROWS, OUT_BYTES = 1000, 8 << 20
+OUT_ROWS, OUT_BYTES = 1000, 4 << 20
 #: Entries of the pre-token memo, about 200 bytes each; a full memo is emptied.
 MEMO_ENTRIES = 900_000
 
@@ -207,7 +207,7 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str = PATTERN, id_col: st
         yield batch(names, parts)
 
     source = columns_of(docs, id_col, text_col)
-    return source.select(source.doc_id.cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return source.select(source.doc_id.cast("long"), "text").mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, ranks: str, pattern: str = PATTERN) -> DataFrame:
@@ -227,4 +227,4 @@ def decode_ids(encoded: DataFrame, ranks: str, pattern: str = PATTERN) -> DataFr
                 decoded = decoded.take(pa.array(np.cumsum(valid) - 1, mask=~valid))
             yield pa.RecordBatch.from_arrays([batch.column(0), rows.cast(schema.field(1).type), decoded], schema=schema)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded binary")

@@ -12,6 +12,8 @@ import pyarrow as pa
 WIDTH = 5
 _ODD_BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+#: Powers that a worker keeps (8 MB), and bytes of words that are hashed at once.
+KNOWN_POWERS, RUN_BYTES = 1 << 19, 1 << 18
 #: Bytes that part words: space and 0x09 to 0x0D.
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LOWER = np.arange(256, dtype=np.uint8)
@@ -29,17 +31,21 @@ BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD_BASE))
 PLACE = mix(np.arange(101, 101 + WIDTH, dtype=np.uint64)) | np.uint64(1)
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n of each."""
-    base, inverse = np.uint64(_ODD_BASE), np.uint64(pow(_ODD_BASE, -1, 1 << 64))
-    up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def _product(base: int, n: int) -> np.ndarray:
+    """Powers of a number modulo 2**64, from 0 to n - 1."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    return _product(_ODD_BASE, KNOWN_POWERS), _product(pow(_ODD_BASE, -1, 1 << 64), KNOWN_POWERS)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(20, n.bit_length()))
+    """At least n powers of the base and of its inverse; a longer table than KNOWN_POWERS isn't kept."""
+    return _powers() if n <= KNOWN_POWERS else (_product(_ODD_BASE, n), _product(pow(_ODD_BASE, -1, 1 << 64), n))
 
 
 class Words:
@@ -69,12 +75,24 @@ class Words:
         ends[edge[1:] - 1] |= inside[edge[1:] - 1]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, self.bounds)
-        up, down = powers(size + 1)
-        total = np.zeros(size + 1, np.uint64)
-        read = LOWER[self.data] if lower else self.data
-        np.cumsum(BYTE_VALUES[read] * up[:size], out=total[1:])
-        length = (self.end - self.start).astype(np.uint64)
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + length)
+        self.hash = np.empty(len(self.start), np.uint64)
+        at = 0
+        while at < len(self.start):
+            to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + RUN_BYTES, "right")))
+            self.hash[at:to] = self._hashes(at, to, lower)
+            at = to
+
+    def _hashes(self, at: int, to: int, lower: bool) -> np.ndarray:
+        """Hashes of some neighbouring words: their bytes' values by place, summed."""
+        low, high = self.start[at], self.end[to - 1]
+        data, start = self.data[low:high], self.start[at:to] - low
+        length = self.end[at:to] - self.start[at:to]
+        place = np.arange(len(data)) - np.repeat(start, np.diff(np.append(start, len(data))))
+        longest = int(length.max())
+        value = BYTE_VALUES[LOWER[data] if lower else data]
+        value[SPACE[data]] = 0
+        value *= powers(longest)[0][np.minimum(place, longest - 1)]
+        return mix(np.add.reduceat(value, start) + length.astype(np.uint64))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """The hash of the window of WIDTH words from each word on, and whether its document has that many left."""

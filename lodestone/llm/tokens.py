@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrow import Output, columns_of, rows_of
+from lodestone.llm.arrow import Output, columns_of, rows_of, tidy
 
 #: Texts of more characters than this are cut into overlapping chunks for counting.
 CHUNK_CHARS = 32_768
@@ -25,9 +25,9 @@ OVERLAP_CHARS = 512
 #: A pre-token that ends this close to a chunk's end may read otherwise in the whole text.
 EDGE_CHARS = 48
 #: Entries of the pre-token memo; a full memo is emptied.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 400_000
 #: Texts are split for the memo in pieces of about so many characters.
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
 
 #: Characters outside these take the library's own splitting; inside, Python's classes equal it.
 _ODD = re.compile("[^\x00-\x1b\x20-ɏ]")
@@ -203,4 +203,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         yield out.batch()
 
     source = columns_of(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, n_bytes long").select("doc_id", "n_bytes", "n_tokens")
+    return source.mapInArrow(tidy(run), "doc_id long, n_tokens long, n_bytes long").select("doc_id", "n_bytes", "n_tokens")
