@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrow import Output, columns_of
+from lodestone.llm.arrow import Output, Seen, small_batches, slices, tidy, tidy_table
 from lodestone.llm.shared import removed, written
 from lodestone.llm.shingles import mix, powers
 
@@ -26,25 +26,19 @@ EDITS, LEAST_CHARS = 2, 12
 #: Bits of the filter that picks the texts of lines that met another: 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
 #: Keys of one bucket, characters of one verifying task, lines of one block of a large group, about.
-BUCKET_KEYS, TASK_CHARS, BLOCK_LINES = 1_000_000, 8_000_000, 1_024
+BUCKET_KEYS, TASK_CHARS, BLOCK_LINES = 300_000, 2_000_000, 1_024
+#: Characters of lines that are hashed together, and keys that a task deals at once.
+PIECE_CHARS, FLUSH_KEYS = 1 << 18, 1 << 18
 _BINS = 16
+#: What tells the place of a line, in the order of places.
+_PLACE = ("doc_id", "text_hash", "line_no")
 
 
 class Lines:
-    """The lines of a batch of texts that take part: texts, their document's row, number and hashes.
+    """Some lines that take part: texts, their document's row in a batch, number and hashes."""
 
-    Those are lines of LEAST_CHARS characters or more, with ``every_line`` all that aren't blank too.
-    """
-
-    def __init__(self, texts: list[str | None], every_line: bool = False):
-        self.text, self.row, self.number = [], [], []
-        for row, text in enumerate(texts):
-            if text:
-                for number, line in enumerate(text.split("\n")):
-                    if len(line) >= LEAST_CHARS or every_line and line.strip():
-                        self.text.append(line)
-                        self.row.append(row)
-                        self.number.append(number)
+    def __init__(self, text: list[str], row: list[int], number: list[int]):
+        self.text, self.row, self.number = text, row, number
         self.length = np.array([len(x) for x in self.text], np.int64)
         self.start = np.cumsum(self.length) - self.length
         codes = np.frombuffer("".join(self.text).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -54,6 +48,26 @@ class Lines:
         np.cumsum(value * up[: len(codes)], out=self.total[1:])
         self.hash = self.part(self.start, self.length, 0, 99).view(np.int64)
 
+    @classmethod
+    def of(cls, texts: list[str | None], every_line: bool = False) -> Iterator[Lines]:
+        """The lines of texts, PIECE_CHARS characters at a time; a longer line comes alone.
+
+        Lines of LEAST_CHARS characters or more take part, with ``every_line`` all that aren't blank too.
+        """
+        text, row, number, held = [], [], [], 0
+        for at, whole in enumerate(texts):
+            for k, line in enumerate((whole or "").split("\n")):
+                if len(line) >= LEAST_CHARS or every_line and line.strip():
+                    if text and held + len(line) > PIECE_CHARS:
+                        yield cls(text, row, number)
+                        text, row, number, held = [], [], [], 0
+                    text.append(line)
+                    row.append(at)
+                    number.append(k)
+                    held += len(line)
+        if text:
+            yield cls(text, row, number)
+
     def part(self, at: np.ndarray, size: np.ndarray, length: np.ndarray | int, kind: int) -> np.ndarray:
         """Hashes of the substrings at these places, told apart by a length and a kind."""
         body = (self.total[at + size] - self.total[at]) * self.down[at]
@@ -152,29 +166,26 @@ def earliest_near(lines: list[str], earlier: list[bool] | None = None) -> list[i
 
 
 def _occurrences(docs: DataFrame, every_line: bool) -> DataFrame:
-    """Every line that takes part: h, doc_id, line_no."""
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32())])
+    """Every line that takes part: h, doc_id, text_hash (of the whole text), line_no."""
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("line_no", pa.int32())])
 
     def run(batches):
-        for batch in batches:
-            lines = Lines(batch.column(1).to_pylist(), every_line)
-            yield pa.RecordBatch.from_arrays([pa.array(lines.hash), batch.column(0).take(pa.array(lines.row, pa.int64())), pa.array(lines.number, pa.int32())], schema=schema)
+        for batch in slices(batches):
+            for lines in Lines.of(batch.column(1).to_pylist(), every_line):
+                row = pa.array(lines.row, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(lines.hash), batch.column(0).take(row), batch.column(2).take(row), pa.array(lines.number, pa.int32())], schema=schema)
 
-    return docs.mapInArrow(run, "h long, doc_id long, line_no int")
+    return docs.mapInArrow(tidy(run), "h long, doc_id long, text_hash long, line_no int")
 
 
 def _new_lines(batches) -> Iterator[tuple[Lines, np.ndarray]]:
-    """The lines of each batch, and which of them this task hasn't seen."""
-    seen: set[int] = set()
-    for batch in batches:
-        lines = Lines(batch.column(1).to_pylist())
-        rows = []
-        for row, h in enumerate(lines.hash.tolist()):
-            if h not in seen:
-                seen.add(h)
-                rows.append(row)
-        if rows:
-            yield lines, np.array(rows, np.int64)
+    """The lines of each batch that can be near another, and which of them this task hasn't seen of late."""
+    seen = Seen()
+    for batch in slices(batches):
+        for lines in Lines.of(batch.column(1).to_pylist()):
+            rows = [row for row, h in enumerate(lines.hash.tolist()) if seen.new(h)]
+            if rows:
+                yield lines, np.array(rows, np.int64)
 
 
 def _keys(docs: DataFrame, buckets: int) -> DataFrame:
@@ -201,14 +212,14 @@ def _keys(docs: DataFrame, buckets: int) -> DataFrame:
             keys.append(key)
             hashes.append(lines.hash[owner])
             held += len(key)
-            if held >= 1 << 20:
+            if held >= FLUSH_KEYS:
                 yield from packed(out, keys, hashes)
                 keys, hashes, held = [], [], 0
         if keys:
             yield from packed(out, keys, hashes)
         yield out.batch()
 
-    return docs.mapInArrow(run, "bucket int, data binary")
+    return docs.mapInArrow(tidy(run), "bucket int, data binary")
 
 
 def _meetings(keys: DataFrame) -> DataFrame:
@@ -234,7 +245,7 @@ def _meetings(keys: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack([least, h], axis=1), axis=0) if len(key) else np.zeros((0, 2), np.int64)
         return pa.table({"grp": pairs[:, 0], "h": pairs[:, 1]})
 
-    return keys.groupBy("bucket").applyInArrow(of_bucket, "grp long, h long").distinct()
+    return keys.groupBy("bucket").applyInArrow(tidy_table(of_bucket), "grp long, h long").distinct()
 
 
 def _filter_of(meetings: DataFrame) -> bytes:
@@ -259,73 +270,78 @@ def _texts(docs: DataFrame, bits: bytes) -> DataFrame:
             rows = rows[held[place >> 3] >> (place & 7) & 1 == 1]
             yield pa.RecordBatch.from_arrays([pa.array(lines.hash[rows]), pa.array([lines.text[r] for r in rows.tolist()], pa.string())], schema=schema)
 
-    return docs.mapInArrow(run, "h long, line string")
+    return docs.mapInArrow(tidy(run), "h long, line string")
 
 
 def _near(members: DataFrame) -> DataFrame:
-    """Each line's first earlier near duplicate in a group: h, like_doc, like_line."""
+    """Each line's first earlier near duplicate in a group: h, like (its place)."""
 
     def of_task(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([(c, "ascending") for c in ("grp", "i", "j", "doc_id", "line_no", "h")])
+        table = table.combine_chunks().sort_by([(c, "ascending") for c in ("grp", "i", "j", "doc_id", "text_hash", "line_no", "h")])
         grp, i, j, block, h = (table.column(c).to_numpy() for c in ("grp", "i", "j", "block", "h"))
-        doc, number, line = table.column("doc_id").to_pylist(), table.column("line_no").to_pylist(), table.column("line").to_pylist()
         new = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])) if len(grp) else []
-        out: tuple[list, list, list] = ([], [], [])
+        here, there = [], []
         for a, b in zip(new, [*new[1:], len(grp)], strict=True):
             if b - a > 1:
-                for k, other in enumerate(earliest_near(line[a:b], (block[a:b] == i[a]).tolist() if i[a] != j[a] else None)):
+                line = table.column("line").slice(a, b - a).to_pylist()
+                for k, other in enumerate(earliest_near(line, (block[a:b] == i[a]).tolist() if i[a] != j[a] else None)):
                     if other >= 0:
-                        for column, value in zip(out, (h[a + k], doc[a + other], number[a + other]), strict=True):
-                            column.append(value)
-        return pa.table({"h": pa.array(out[0], pa.int64()), "like_doc": pa.array(out[1], pa.int64()), "like_line": pa.array(out[2], pa.int32())})
+                        here.append(a + k)
+                        there.append(a + other)
+        like = table.select(list(_PLACE)).take(pa.array(there, pa.int64()))
+        return pa.table({"h": pa.array(h[np.array(here, np.int64)]), **{f"like_{c}": like.column(c) for c in _PLACE}})
 
-    return members.groupBy("task").applyInArrow(of_task, "h long, like_doc long, like_line int")
+    return members.groupBy("task").applyInArrow(tidy_table(of_task), "h long, like_doc_id long, like_text_hash long, like_line_no int")
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every_line: bool = False) -> DataFrame:
-    """Lines to remove: doc_id, line_no (from 0, between \\n), like_doc, like_line and edits_apart (boolean).
+    """Lines to remove: doc_id, line_no (from 0, between \\n), like_doc, like_line, edits_apart (boolean) and text_hash.
 
     Lines of at least LEAST_CHARS characters take part; with ``every_line`` exact copies of shorter
-    ones go too, blank ones apart. Distinct lines stand in the order of their first place (doc_id, line_no). A line of LEAST_CHARS characters or more within EDITS edits of such an earlier distinct line goes
-    everywhere (edits_apart; like_* is the first such line's place); of another line all but the
-    first place goes. Rows with equal doc_id count as the same places, so exactly repeated rows all
-    keep the line. A null doc_id comes first. Null and empty texts and empty tables have no lines;
-    other columns are ignored. Lines are told apart by 64-bit hashes.
+    ones go too, blank ones apart. Distinct lines stand in the order of their first place (doc_id,
+    text_hash, line_no). A line of LEAST_CHARS characters or more within EDITS edits of such an
+    earlier distinct line goes everywhere (edits_apart; like_* is the first such line's place); of
+    another line all but the first place goes. text_hash is xxhash64 of the row's whole text: rows
+    that share a doc_id, or have none, are told apart by it, and only exactly repeated rows count as
+    the same places and all keep the line. A null doc_id comes first. Null and empty texts and empty
+    tables have no lines; other columns are ignored. Lines are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    docs = columns_of(docs, id_col, text_col)
-    docs = docs.select(docs.doc_id.cast("long"), "text")
+    small_batches(spark)
+    text = docs[text_col].cast("string")
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     places = written(_occurrences(docs, every_line))
-    first = written(places.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")))
+    first = written(places.groupBy("h").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n")))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, ceil(first.count() * 15 / BUCKET_KEYS))
     met = written(_meetings(_keys(docs, buckets)))
 
     texts = _texts(docs, _filter_of(met)).groupBy("h").agg(F.first("line").alias("line")).join(first, "h")
     sizes = met.groupBy("grp").agg(F.count("*").alias("k")).select("grp", F.ceil(F.col("k") / BLOCK_LINES).cast("int").alias("blocks"))
-    members = met.join(sizes, "grp").join(texts, "h").select("grp", "h", "line", "first.doc_id", "first.line_no", "blocks", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int").alias("block"))
+    members = met.join(sizes, "grp").join(texts, "h").select("grp", "h", "line", "first.*", "blocks", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = members.select("*", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     tasks = max(partitions, ceil(met.count() * 200 / TASK_CHARS))
-    dealt = paired.select(F.pmod(F.xxhash64("grp", "i", "j"), F.lit(tasks)).cast("int").alias("task"), "grp", "i", "j", "block", "h", "doc_id", "line_no", "line")
-    near = _near(dealt).groupBy("h").agg(F.min(F.struct("like_doc", "like_line")).alias("like"))
+    dealt = paired.select(F.pmod(F.xxhash64("grp", "i", "j"), F.lit(tasks)).cast("int").alias("task"), "grp", "i", "j", "block", "h", *_PLACE, "line")
+    near = _near(dealt.repartition(min(tasks, 8 * partitions), "task")).groupBy("h").agg(F.min(F.struct(*(f"like_{c}" for c in _PLACE))).alias("like"))
 
     fate = written(first.join(near, "h", "left").where("like is not null or n > 1").select("h", "first", "like"))
-    for table in (met,):
-        removed(table)
-    judged = places.join(fate, "h").where(F.col("like").isNotNull() | ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))))
-    like = F.coalesce(F.struct(F.col("like.like_doc"), F.col("like.like_line")), F.struct(F.col("first.doc_id").alias("like_doc"), F.col("first.line_no").alias("like_line")))
-    return judged.select("doc_id", "line_no", F.when(F.col("like").isNotNull(), F.col("like.like_doc")).otherwise(F.col("first.doc_id")).alias("like_doc"), F.when(F.col("like").isNotNull(), F.col("like.like_line")).otherwise(F.col("first.line_no")).alias("like_line"), F.col("like").isNotNull().alias("edits_apart"))
+    removed(met)
+    here = F.struct(*_PLACE)
+    judged = places.join(fate, "h").where(F.col("like").isNotNull() | ~F.col("first").eqNullSafe(here))
+    near_one = F.col("like").isNotNull()
+    return judged.select("doc_id", "line_no", F.when(near_one, F.col("like.like_doc_id")).otherwise(F.col("first.doc_id")).alias("like_doc"), F.when(near_one, F.col("like.like_line_no")).otherwise(F.col("first.line_no")).alias("like_line"), near_one.alias("edits_apart"), "text_hash")
 
 
 def without_duplicate_lines(docs: DataFrame, every_line: bool = False) -> DataFrame:
     """Documents without the lines that ``duplicate_lines`` names; all other lines and columns stay.
 
-    n_chars, where there is one, follows the text. A document of which nothing but white space is
-    left, though it had more before, goes: all its lines stand elsewhere.
+    Lines go from rows of that doc_id and text alone. n_chars, where there is one, follows the text.
+    A document of which nothing but white space is left, though it had more before, goes: all its
+    lines stand elsewhere. Null and empty texts stay as they are.
     """
-    gone = duplicate_lines(docs, every_line=every_line).groupBy("doc_id").agg(F.collect_set("line_no").alias("lines__gone"))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "id__gone"), docs.doc_id.eqNullSafe(F.col("id__gone")), "left")
+    gone = duplicate_lines(docs, every_line=every_line).groupBy(F.col("doc_id").alias("id__gone"), F.col("text_hash").alias("hash__gone")).agg(F.collect_set("line_no").alias("lines__gone"))
+    joined = docs.join(gone, docs.doc_id.cast("long").eqNullSafe(F.col("id__gone")) & (F.xxhash64(docs.text.cast("string")) == F.col("hash__gone")), "left")
     numbered = F.transform(F.split("text", "\n", -1), lambda x, k: F.struct(x.alias("line"), k.alias("k")))
     kept = F.filter(numbered, lambda x: ~F.array_contains("lines__gone", x["k"]))
     text = F.when(F.col("lines__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
