@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrow import Output, columns_of
+from lodestone.llm.arrow import Output, Seen, columns_of, slices, tidy, tidy_table
 from lodestone.llm.components import connected
 from lodestone.llm.shared import removed, written
 from lodestone.llm.shingles import Words, class_of, distinct, mix
@@ -31,10 +31,16 @@ CHECK_COST = 8
 #: Frequent shingles: the most that one task reports, the count that it reports from, the count that
 #: matters over all, and the most that are broadcast (about 10 MB). They only order the lists.
 LOCAL_FREQUENT, LOCAL_LEAST, LEAST_FREQUENT, MOST_FREQUENT = 2_000, 4, 5, 400_000
+#: Small sets of one size that a task keeps for the cost model; the others are counted.
+SMALL_SETS = 10_000
 #: Elements and members of a group that are verified at once; larger groups are split into blocks.
 BLOCK_ELEMENTS, BLOCK_MEMBERS = 500_000, 1_024
 #: Keys of one bucket and elements of one verifying task, about.
-BUCKET_KEYS, TASK_ELEMENTS = 1_000_000, 2_000_000
+BUCKET_KEYS, TASK_ELEMENTS = 300_000, 1_000_000
+#: Rows of a list, up to which each is held against each other by size and place.
+CLOSE = 32
+#: Keys that a task deals at once.
+FLUSH_KEYS = 1 << 18
 
 
 class Threshold:
@@ -83,7 +89,7 @@ def choose_boundary(sizes: list[tuple[int, int, float]], threshold: Threshold) -
 class Frequent:
     """The most frequent elements of a stream in bounded memory, and the smallest class with each."""
 
-    def __init__(self, hold: int = 1 << 21, keep: int = 1 << 16):
+    def __init__(self, hold: int = 1 << 18, keep: int = 1 << 16):
         self.hold, self.keep, self.parts, self.held = hold, keep, [], 0
         self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -129,31 +135,32 @@ def _facts(docs: DataFrame) -> DataFrame:
     frequent shingle, its count and smallest class; 2: a small size, its classes and shared elements."""
 
     def run(batches):
-        seen: set[int] = set()
-        frequent, small, out = Frequent(), {}, Output(FACTS_ARROW)
-        for batch in batches:
+        seen, frequent, small, out = Seen(), Frequent(), {}, Output(FACTS_ARROW)
+        for batch in slices(batches):
             for doc_id, elements in zip(batch.column(0).to_pylist(), Words(batch.column(1), lower=True).sets(), strict=True):
                 n = len(elements)
                 cid = class_of(elements) if n else None
-                if n and cid not in seen:
-                    seen.add(cid)
+                if n and seen.new(cid):
                     frequent.add(elements, cid)
                     if n <= LARGEST_SMALL:
-                        small.setdefault(n, []).append(elements)
+                        count, parts = small.setdefault(n, (0, []))
+                        small[n] = (count + 1, parts)
+                        if count < SMALL_SETS:
+                            parts.append(elements)
                 if out.add(0, doc_id, n, cid):
                     yield out.batch()
         element, count, owner = frequent.top(LOCAL_FREQUENT, LOCAL_LEAST)
         for row in zip(element.view(np.int64).tolist(), count.tolist(), owner.tolist(), strict=True):
             out.add(1, *row)
         known, counts, _ = frequent.known
-        for n, sets in small.items():
+        for n, (count, sets) in small.items():
             elements = np.concatenate(sets)
             at = np.minimum(np.searchsorted(known, elements), max(0, len(known) - 1))
             shared = counts[at][known[at] == elements].sum() if len(known) else 0
-            out.add(2, n, len(sets), int(shared))
+            out.add(2, n, count, int(shared * count / len(sets)))
         yield out.batch()
 
-    return docs.mapInArrow(run, FACTS)
+    return docs.mapInArrow(tidy(run), FACTS)
 
 
 class Order:
@@ -207,13 +214,15 @@ def _subset_keys(elements: np.ndarray, most: int, threshold: Threshold) -> np.nd
 
 
 def _keys(docs: DataFrame, order: Order, boundary: int, buckets: int, threshold: Threshold) -> DataFrame:
-    """Each class's keys, packed by bucket: bucket, known (pairs of a group and a class) and data."""
+    """Each class's keys, packed by bucket: bucket, known and data, rows of a key, a class, its size and the key's place.
+
+    With ``known`` the key is a group's name, and nothing has to meet: those rows are dealt by class.
+    """
     schema = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("data", pa.binary())])
-    flush_at = 1 << 20
 
     def packed(out, keys, owners, sizes, known):
         key, owner, size = np.concatenate(keys), np.concatenate(owners), np.concatenate(sizes)
-        bucket = ((mix(key) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        bucket = ((mix(owner.view(np.uint64) if known else key) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         rows = np.stack([key[by].view(np.int64), owner[by], size[by]], axis=1)
         ends = np.cumsum(np.bincount(bucket, minlength=buckets))
@@ -226,12 +235,11 @@ def _keys(docs: DataFrame, order: Order, boundary: int, buckets: int, threshold:
             begin = end
 
     def run(batches):
-        seen: set[int] = set()
-        out, held = Output(schema), 0
+        seen, out, held = Seen(), Output(schema), 0
         pending: dict[bool, tuple[list, list, list]] = {False: ([], [], []), True: ([], [], [])}
 
-        def hold(known, key, cid, n):
-            for column, values in zip(pending[known], (key, np.full(len(key), cid, np.int64), np.full(len(key), n, np.int64)), strict=True):
+        def hold(known, key, cid, n, place):
+            for column, values in zip(pending[known], (key, np.full(len(key), cid, np.int64), (n << 32) + place), strict=True):
                 column.append(values)
             return len(key)
 
@@ -242,64 +250,97 @@ def _keys(docs: DataFrame, order: Order, boundary: int, buckets: int, threshold:
                     for column in columns:
                         column.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for elements in Words(batch.column(1), lower=True).sets():
                 n = len(elements)
                 cid = class_of(elements) if n else None
-                if not n or cid in seen:
+                if not n or not seen.new(cid):
                     continue
-                seen.add(cid)
                 if n <= boundary:
-                    held += hold(False, _subset_keys(elements, boundary, threshold), cid, n)
+                    subsets = _subset_keys(elements, boundary, threshold)
+                    held += hold(False, subsets, cid, n, np.zeros(len(subsets), np.int64))
                 if n > boundary or threshold.compatible(n, boundary + 1):
                     rare, known = order.first(elements, threshold.prefix(n))
-                    held += hold(False, rare, cid, n)
+                    held += hold(False, rare, cid, n, np.arange(len(rare)))
                     if len(known):
-                        held += hold(True, np.unique(known).view(np.uint64), cid, n)
-            if held >= flush_at:
-                yield from flush()
-                held = 0
+                        known = np.unique(known).view(np.uint64)
+                        held += hold(True, known, cid, n, np.zeros(len(known), np.int64))
+                if held >= FLUSH_KEYS:
+                    yield from flush()
+                    held = 0
         yield from flush()
         yield out.batch()
 
-    return docs.mapInArrow(run, "bucket int, known boolean, data binary")
+    return docs.mapInArrow(tidy(run), "bucket int, known boolean, data binary")
 
 
-def _sorted_rows(table: pa.Table, known: bool, *by: int) -> np.ndarray:
-    """The distinct rows of one kind in a bucket (key or group, class, size), in the order of the given columns."""
+def _rows(table: pa.Table, known: bool) -> np.ndarray:
+    """The distinct rows of one kind in a bucket (key or group, class, size and place), in their order by key, size, place, class."""
     packed = table.filter(pa.compute.equal(table.column("known"), known)).column("data").to_pylist()
     rows = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(data, np.int64).reshape(-1, 3) for data in packed)])
-    rows = rows[np.lexsort([rows[:, c] for c in reversed(by)])]
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
     return rows[new]
 
 
+def _begins(changes: np.ndarray) -> np.ndarray:
+    """Where runs begin, from whether each row but the first differs from the one before it."""
+    return np.flatnonzero(np.concatenate([[True], changes]))
+
+
 def _frequent_keys(keys: DataFrame) -> DataFrame:
     """Keys whose lists have LEAST_FREQUENT classes or more: element, n and the smallest class."""
 
     def of_bucket(table: pa.Table) -> pa.Table:
-        key, cid, _ = _sorted_rows(table, False, 0, 1).T
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        key, cid, _ = _rows(table, False).T
+        at = _begins(key[1:] != key[:-1]) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(at, len(key)))
-        at, size = at[size >= LEAST_FREQUENT], size[size >= LEAST_FREQUENT]
-        return pa.table({"element": key[at], "n": size, "cid": cid[at]})
+        least = np.minimum.reduceat(cid, at) if len(key) else cid
+        often = size >= LEAST_FREQUENT
+        return pa.table({"element": key[at][often], "n": size[often], "cid": least[often]})
+
+    return keys.groupBy("bucket").applyInArrow(tidy_table(of_bucket), "element long, n long, cid long")
 
-    return keys.groupBy("bucket").applyInArrow(of_bucket, "element long, n long, cid long")
 
+def may_link(key: np.ndarray, n: np.ndarray, place: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """Of rows in the order of key and size, those that may have a linked partner in their list.
 
-def _memberships(keys: DataFrame, percent: int) -> DataFrame:
+    The first element that linked sets share leaves each of them as many elements, from its place
+    on, as they share at least. Rows are held against those after them one distance at a time; lists
+    of more than CLOSE rows keep all of them.
+    """
+    alive = np.zeros(len(key), bool)
+    low = np.arange(len(key))
+    for step in range(1, CLOSE + 1):
+        low = low[low + step < len(key)]
+        low = low[key[low] == key[low + step]]
+        if not len(low):
+            return alive
+        high = low + step
+        near = 100 * n[low] >= threshold.percent * n[high]
+        left = np.minimum(n[low] - place[low], n[high] - place[high])
+        near &= left * (100 + threshold.percent) >= threshold.percent * (n[low] + n[high])
+        alive[low[near]] = alive[high[near]] = True
+    longer = low + CLOSE
+    return alive | np.isin(key, key[longer])
+
+
+def _memberships(keys: DataFrame, threshold: Threshold) -> DataFrame:
     """Each class with the groups that it is to be verified in.
 
-    A list in the order of sizes breaks where neighbours are too unlike in size to link; each part
-    of two or more is a group, named by its smallest class.
+    Of a list stay those rows that may have a partner by size and place. In the order of sizes it
+    breaks where neighbours are too unlike in size to link; each part of two or more is a group,
+    named by its smallest class.
     """
 
     def of_bucket(table: pa.Table) -> pa.Table:
-        pairs = [_sorted_rows(table, True, 0, 1)[:, :2]]
-        key, cid, n = _sorted_rows(table, False, 0, 2, 1).T
+        pairs = [_rows(table, True)[:, :2]]
+        rows = _rows(table, False)
+        rows = rows[may_link(rows[:, 0], rows[:, 2] >> 32, rows[:, 2] & 0xFFFFFFFF, threshold)]
+        key, cid, n = rows[:, 0], rows[:, 1], rows[:, 2] >> 32
         if len(key):
-            at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (100 * n[:-1] < percent * n[1:])]))
+            at = _begins((key[1:] != key[:-1]) | (100 * n[:-1] < threshold.percent * n[1:]))
             size = np.diff(np.append(at, len(key)))
             shared = np.repeat(size, size) > 1
             pairs.append(np.stack([np.repeat(np.minimum.reduceat(cid, at), size)[shared], cid[shared]], axis=1))
@@ -309,7 +350,7 @@ def _memberships(keys: DataFrame, percent: int) -> DataFrame:
         new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
         return pa.table({"grp": pairs[new, 0], "cid": pairs[new, 1]})
 
-    return keys.groupBy("bucket").applyInArrow(of_bucket, "grp long, cid long").distinct()
+    return keys.groupBy("bucket").applyInArrow(tidy_table(of_bucket), "grp long, cid long").distinct()
 
 
 def _class_texts(docs: DataFrame) -> DataFrame:
@@ -317,19 +358,18 @@ def _class_texts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("cid", pa.int64()), ("text", pa.string())])
 
     def run(batches):
-        seen: set[int] = set()
-        for batch in batches:
+        seen = Seen()
+        for batch in slices(batches):
             rows, names = [], []
             for i, elements in enumerate(Words(batch.column(1), lower=True).sets()):
-                if len(elements) and (cid := class_of(elements)) not in seen:
-                    seen.add(cid)
+                if len(elements) and seen.new(cid := class_of(elements)):
                     rows.append(i)
                     names.append(cid)
             if rows:
                 texts = batch.column(1).take(pa.array(rows, pa.int64())).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), texts], schema=schema)
 
-    return docs.mapInArrow(run, "cid long, text string")
+    return docs.mapInArrow(tidy(run), "cid long, text string")
 
 
 MEMBER = "task int, grp long, i int, j int, block int, cid long, grps array<long>, data binary"
@@ -344,7 +384,7 @@ def _members(texts: DataFrame, tasks: int) -> DataFrame:
 
     def run(batches):
         out = Output(schema)
-        for batch in batches:
+        for batch in slices(batches):
             for cid, of, elements in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), Words(batch.column(1), lower=True).sets(), strict=True):
                 data, groups = elements.tobytes(), sorted(x["grp"] for x in of)
                 for x in of:
@@ -357,7 +397,7 @@ def _members(texts: DataFrame, tasks: int) -> DataFrame:
                             yield out.batch()
         yield out.batch()
 
-    return texts.select("cid", "text", "of").mapInArrow(run, MEMBER)
+    return texts.select("cid", "text", "of").mapInArrow(tidy(run), MEMBER)
 
 
 def _overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -437,7 +477,7 @@ def _verified(members: DataFrame, threshold: Threshold) -> DataFrame:
                     column.append(value)
         return pa.table({"cid": pa.array(out[0], pa.int64()), "root": pa.array(out[1], pa.int64()), "n_links": pa.array(out[2], pa.int64())})
 
-    return members.groupBy("task").applyInArrow(of_task, "cid long, root long, n_links long")
+    return members.groupBy("task").applyInArrow(tidy_table(of_task), "cid long, root long, n_links long")
 
 
 def _partitions(spark: SparkSession) -> int:
@@ -469,7 +509,7 @@ def similar_documents(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     # The lists' own lengths tell which shingles are frequent; those then stand last, and the lists are made anew.
     scanned = written(_frequent_keys(_keys(docs, order, 0, buckets, threshold)))
     order = Order.of(scanned.unionByName(seen_often).groupBy("element").agg(F.max("n").alias("n"), F.min("cid").alias("cid")))
-    groups = written(_memberships(_keys(docs, order, boundary, buckets, threshold), percent))
+    groups = written(_memberships(_keys(docs, order, boundary, buckets, threshold), threshold))
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     sized = groups.join(classes.select("cid", "n"), "cid")
     weight = sized.groupBy("grp").agg(F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")

@@ -158,3 +158,18 @@ def test_rows_that_share_an_id_lose_their_own_lines_alone(spark, docs):
     table = docs((7, f"first\n{first}"), (7, f"zz\n{copy}"), (None, f"one\n{first} and more"), (None, f"two\n{copy}"), (9, copy))
     kept = sorted((str(r.doc_id), r.text) for r in lines.without_duplicate_lines(table, every_line=True).collect())
     assert kept == [("7", f"first\n{first}"), ("7", "zz"), ("None", f"one\n{first} and more"), ("None", f"two\n{copy}")]
+
+
+def test_rows_that_may_link_by_size_and_place(spark):
+    threshold = links.Threshold(80)
+    rng = random.Random(8)
+    for _ in range(200):
+        pool = rng.sample(range(1000), 60)
+        sets = [frozenset(rng.sample(pool[:54], rng.randrange(30, 52))) for _ in range(12)]
+        rows = sorted((e, len(s), k, c) for c, s in enumerate(sets) for k, e in enumerate(sorted(s)[: threshold.prefix(len(s))]))
+        key, n, place, owner = np.array(rows).T
+        alive = links.may_link(key, n, place, threshold)
+        meet = {(a, b) for x, a, keep_a in zip(key, owner, alive) for y, b, keep_b in zip(key, owner, alive) if x == y and a < b and keep_a and keep_b}
+        assert meet >= {(a, b) for a in range(12) for b in range(a + 1, 12) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    many = np.zeros(40, np.int64)
+    assert links.may_link(many, np.arange(100, 140), np.full(40, 39), threshold).all()
