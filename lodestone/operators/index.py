@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import query as Q
 from lodestone.functions import text as T
+from lodestone.operators import corpus
 
 
 def searchable(sep: str = " ") -> Column:
@@ -61,6 +64,17 @@ def with_idf(frequency: DataFrame, totals: DataFrame) -> DataFrame:
     return frequency.join(F.broadcast(totals)).select("token", "df", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+_TABLES = ("chunks", "postings", "idf", "totals")
+
+
+def opened(spark: SparkSession, folder: str) -> Index | None:
+    """The index that ``saved`` has finished in a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{_TABLES[2]}/_SUCCESS")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return Index(*(spark.read.parquet(f"{folder}/{name}") for name in _TABLES))
+
+
 def saved(chunks: DataFrame, folder: str) -> Index:
     """The index written as Parquet, postings in the order of tokens, and read from there.
 
@@ -75,3 +89,29 @@ def saved(chunks: DataFrame, folder: str) -> Index:
     postings, totals = kept(built.postings.sortWithinPartitions("token"), "postings"), kept(built.totals, "totals")
     idf = kept(with_idf(postings.groupBy("token").agg(F.count("*").alias("df")), totals), "idf")
     return Index(built.chunks, postings, idf, totals)
+
+
+def fingerprint(docs: DataFrame, *columns: str) -> str:
+    """A corpus by its number of rows and the sums of their hashes, whatever their order."""
+    hashes = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(20,0)")) for seed in (1, 2)]
+    row = docs.agg(F.count("*").alias("n"), *(h.alias(f"h{k}") for k, h in enumerate(hashes))).first()
+    return hashlib.sha256(repr(tuple(row)).encode()).hexdigest()[:32]
+
+
+def shared_index(docs: DataFrame, folder: str) -> Index:
+    """The index of documents (doc_id, text, lang, source), made once for each corpus in a shared folder.
+
+    It is written under a name of its own and then moved to that of the corpus's fingerprint, so that
+    a run that breaks off, or another that makes the same index, leaves nothing half done to be read.
+    """
+    spark = docs.sparkSession
+    path = f"{folder}/index-{fingerprint(docs, 'doc_id', 'text', 'lang', 'source')}"
+    if found := opened(spark, path):
+        return found
+    own = f"{folder}/making-{uuid.uuid4().hex}"
+    saved(corpus.chunks(docs), own)
+    to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = to_path(own).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.rename(to_path(own), to_path(path)) and not opened(spark, path):
+        raise OSError(f"the index can't be moved to {path}")
+    return opened(spark, path)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from lodestone.functions import query as Q
 from lodestone.functions import text as T
 from lodestone.functions import vocabulary as V
 from lodestone.operators.index import Index, own_bonus, searchable
+from lodestone.operators.vectors import best_matches
 
 
 @dataclass(frozen=True)
@@ -92,23 +95,71 @@ def category_place(name: Column) -> Column:
     return Q.by_category(name, {c: F.lit(k) for k, c in enumerate(Q.CATEGORIES)}, F.lit(0))
 
 
-def lexical(index: Index, questions: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """Scored chunks for understood questions: q_id, chunk_id, score (9 decimals), and the chunk's columns but its text.
+STATIC = ["chunk_id", "doc_id", "document_title", "section_title", "chunk_level", "page_start", "page_end", "parent_chunk_id"]
+
+
+def _alone() -> Column:
+    """What a chunk scores for a question's category without a common token."""
+    return F.get("own", category_place(F.col("category"))) + target_bonus()
+
+
+def _best_alone(index: Index, questions: DataFrame, most: int | None) -> DataFrame:
+    """For each question the ``most`` paragraphs and chapters (None: all) that score best by their bonuses alone: q_id, chunk_id.
 
-    Each question meets every chunk, as those without a common token score by their bonuses; a
-    question with a true ``isolated`` (see ``with_isolation``) only its targets' chunks. Only positive scores stay.
+    That depends on category and targets only, so chunks meet the distinct ones of these, not the questions.
     """
-    matched = coverage(index, questions)
-    static = index.chunks.select("chunk_id", "doc_id", "document_title", "section_title", "chunk_level", "page_start", "page_end", "parent_chunk_id", "own")
-    asked = questions.select("q_id", "category", "targets", category_place(F.col("category")).alias("place"), *(["isolated"] if "isolated" in questions.columns else []))
-    pairs = static.crossJoin(F.broadcast(asked))
-    if "isolated" in questions.columns:
-        pairs = pairs.where(~F.col("isolated") | Q.matches_targets(F.col("document_title"), F.col("targets"))).drop("isolated")
-    pairs = pairs.withColumn("alone", F.get("own", F.col("place"))).withColumn("aimed", target_bonus()).drop("own", "place")
-    rows = pairs.join(matched, ["q_id", "chunk_id"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    kind = ["category", "targets", *(["isolated"] if "isolated" in questions.columns else [])]
+    kinds = questions.select(*kind).distinct()
+    pairs = index.chunks.select("chunk_id", "document_title", "chunk_level", "own").crossJoin(kinds)
+    if "isolated" in kind:
+        pairs = pairs.where(~F.col("isolated") | Q.matches_targets(F.col("document_title"), F.col("targets")))
+    order = Window.partitionBy(*kind, F.col("chunk_level") == "chapter").orderBy(F.desc(F.round(_alone(), 9)), "chunk_id")
+    best = pairs if most is None else pairs.withColumn("nth__", F.row_number().over(order)).where(F.col("nth__") <= most)
+    best = best.select(*kind, "chunk_id")
+    return questions.select("q_id", *kind).join(best, kind).select("q_id", "chunk_id")
+
+
+def scored_pairs(index: Index, questions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Scores (9 decimals) of pairs (q_id, chunk_id, coverage, in_title, in_section), with the chunk's columns but its text; positive ones stay."""
+    static = index.chunks.select(*STATIC, "own")
+    rows = pairs.join(questions.select("q_id", "category", "targets"), "q_id").join(static, "chunk_id")
     hit = F.when(F.col("in_title"), 0.8).otherwise(0.0) + F.when(F.col("in_section"), 0.4).otherwise(0.0)
-    score = F.round(3.0 * F.col("coverage") + hit + F.col("alone") + F.col("aimed"), 9)
-    return rows.withColumn("score", score).where("score > 0").drop("alone", "aimed", "in_title", "in_section")
+    score = F.round(3.0 * F.coalesce("coverage", F.lit(0.0)) + hit + _alone(), 9)
+    return rows.withColumn("score", score).where("score > 0").select("q_id", "category", "targets", *STATIC, F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "score")
+
+
+def lexical(index: Index, questions: DataFrame, most: int | None = None) -> DataFrame:
+    """Scored chunks for understood questions: q_id, chunk_id, score (9 decimals), and the chunk's columns but its text.
+
+    All hits, or, with ``most``, those with a common token and the ``most`` of each question that score
+    best by their bonuses, for paragraphs and chapters. Bonuses count for hits with a common token too, and these
+    only gain by it; so the first ``most`` of all chunks, paragraphs or chapters, are among them. A
+    question with a true ``isolated`` (see ``with_isolation``) has its targets' chunks alone. Only
+    positive scores stay.
+    """
+    pairs = coverage(index, questions).join(_best_alone(index, questions, most), ["q_id", "chunk_id"], "full_outer")
+    rows = scored_pairs(index, questions, pairs)
+    if "isolated" not in questions.columns:
+        return rows
+    rows = rows.join(questions.select("q_id", "isolated"), "q_id")
+    return rows.where(~F.col("isolated") | Q.matches_targets(F.col("document_title"), F.col("targets"))).drop("isolated")
+
+
+def not_scored(index: Index, questions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (q_id, chunk_id, ...) those whose chunk is no hit of its question, however low."""
+    asked = questions.join(pairs.select("q_id").distinct(), "q_id", "left_semi")
+    found = coverage(index, asked).join(pairs.select("q_id", "chunk_id"), ["q_id", "chunk_id"], "right")
+    hits = scored_pairs(index, questions, found).select("q_id", "chunk_id")
+    return pairs.join(hits, ["q_id", "chunk_id"], "left_anti")
+
+
+def target_titles(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The titles that each set of targets matches, with their number of chunks: targets, document_title, n."""
+    sets = questions.where(F.size("targets") > 0).select("targets").distinct()
+    terms = sets.select(F.explode("targets").alias("term")).distinct()
+    titles = chunks.groupBy("document_title").agg(F.count("*").alias("n"))
+    named = titles.join(terms, F.contains(F.lower("document_title"), F.col("term"))).select("term", "document_title", "n")
+    return sets.select("targets", F.explode("targets").alias("term")).join(named, "term").select("targets", "document_title", "n").distinct()
 
 
 def ranked(hits: DataFrame, *order: Column, most: int | None = None, name: str = "rank") -> DataFrame:
@@ -130,21 +181,24 @@ def isolated(hits: DataFrame, top_k: int) -> DataFrame:
 
 def with_isolation(questions: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
     """Questions with ``isolated``: whether they have targets that at least twice top_k chunks of the corpus match."""
-    sets = questions.where(F.size("targets") > 0).select("targets").distinct()
-    titles = chunks.groupBy("document_title").agg(F.count("*").alias("n"))
-    found = titles.join(F.broadcast(sets), Q.matches_targets(F.col("document_title"), F.col("targets"))).groupBy("targets").agg(F.sum("n").alias("n__"))
+    found = target_titles(questions, chunks).groupBy("targets").agg(F.sum("n").alias("n__"))
     enough = F.coalesce(F.col("n__") >= 2 * top_k, F.lit(False))
-    return questions.join(F.broadcast(found), "targets", "left").withColumn("isolated", enough).select(*questions.columns, "isolated")
+    return questions.join(found, "targets", "left").withColumn("isolated", enough).select(*questions.columns, "isolated")
+
 
+def category_fallback(hits: DataFrame, index: Index, questions: DataFrame, config: RetrievalConfig, complete: bool = True) -> DataFrame:
+    """Paragraphs of target documents with a category term that aren't hits yet, below the top_k-th score: q_id, chunk_id, score.
 
-def category_fallback(hits: DataFrame, index: Index, questions: DataFrame, config: RetrievalConfig) -> DataFrame:
-    """Paragraphs of target documents with a category term that aren't hits yet, below the top_k-th score: q_id, chunk_id, score."""
+    ``hits`` has all hits, or, if it isn't ``complete``, the first lexical ones.
+    """
     if config.top_k < config.fallback_from:
         return hits.select("q_id", "chunk_id", "score").limit(0)
-    floor = ranked(hits, F.desc("score")).where(F.col("rank") <= config.top_k).groupBy("q_id").agg(F.min("score").alias("floor"))
+    floor = ranked(hits, F.desc("score"), most=config.top_k).groupBy("q_id").agg(F.min("score").alias("floor"))
     asked = questions.where(F.size("targets") > 0).select("q_id", "category", "targets")
-    rows = index.chunks.where("chunk_level <> 'chapter'").join(F.broadcast(asked), Q.matches_targets(F.col("document_title"), F.col("targets")))
+    aimed = asked.join(target_titles(questions, index.chunks).drop("n"), "targets")
+    rows = index.chunks.where("chunk_level <> 'chapter'").join(aimed, "document_title")
     rows = rows.withColumn("hits", Q.category_hits(F.lower(searchable()), F.col("category"))).where("hits > 0").join(hits.select("q_id", "chunk_id"), ["q_id", "chunk_id"], "left_anti")
+    rows = rows if complete else not_scored(index, questions, rows)
     order = Window.partitionBy("q_id").orderBy(F.desc("hits"), F.desc(F.coalesce("page_start", F.lit(0))), "chunk_id")
     rows = rows.withColumn("nth", F.row_number().over(order) - 1).where(F.col("nth") < config.fallback_limit).join(floor, "q_id", "left")
     return rows.select("q_id", "chunk_id", (F.coalesce("floor", F.lit(0.3)) - 0.2 - 0.002 * F.col("nth") + F.least(F.lit(0.2), 0.04 * F.col("hits"))).alias("score"))
@@ -184,34 +238,57 @@ def fused(lexical_hits: DataFrame, vector_hits: DataFrame, config: RetrievalConf
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors by cosine distance: q_id, chunk_id, distance (9 decimals), rank.
+    """The k nearest vectors by cosine distance: q_id, chunk_id, distance (9 decimals), rank; ties go to the smaller chunk_id.
 
-    ``queries`` (q_id, embedding) is a stated set; each vector meets each of them.
+    ``queries`` (q_id, embedding) is a stated set: see ``vectors.best_matches``.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    left = vectors.select("chunk_id", F.col("embedding").alias("v"), F.sqrt(dot("embedding", "embedding")).alias("size"))
-    right = queries.select("q_id", F.col("embedding").alias("w"), F.sqrt(dot("embedding", "embedding")).alias("q_size"))
-    rows = left.crossJoin(right).where("size > 0 and q_size > 0").select("q_id", "chunk_id", (F.round(1 - dot("v", "w") / (F.col("size") * F.col("q_size")), 9) + 0.0).alias("distance"))
-    return ranked(rows, F.col("distance"), most=k)
+    rows = best_matches(vectors.select(F.col("chunk_id").alias("id"), F.lit(1.0).alias("weight"), "embedding"), queries, k)
+    return rows.select("q_id", F.col("id").alias("chunk_id"), (F.round(1 - F.col("similarity"), 9) + 0.0).alias("distance"), "rank")
+
+
+def is_financial(section: Column) -> Column:
+    return T.contains_any(F.coalesce(section, F.lit("")), V.FINANCIAL_SECTIONS)
+
+
+def financial_part(index: Index) -> Index:
+    """The paragraphs of financial sections, with the frequencies of the whole corpus."""
+    chunks = index.chunks.where("chunk_level <> 'chapter'").where(is_financial(F.col("section_title")))
+    return Index(chunks, index.postings.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), index.idf, index.totals)
 
 
 def financial_focus(index: Index, questions: DataFrame, config: RetrievalConfig) -> DataFrame:
     """Financial questions' best paragraphs of financial sections, by focus tokens: q_id, chunk_id, score."""
-    chunks = index.chunks.where(F.col("chunk_level") != "chapter").where(T.contains_any(F.coalesce("section_title", F.lit("")), V.FINANCIAL_SECTIONS))
-    focus = Index(chunks, index.postings.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), index.idf, index.totals)
     asked = questions.where("category = 'financial'").withColumn("tokens", F.col("focus_tokens"))
-    hits = lexical(focus, asked, config)
-    return ranked(hits, F.desc("score"), most=max(config.top_k, config.focus_k)).select("q_id", "chunk_id", "score")
+    most = max(config.top_k, config.focus_k)
+    return ranked(lexical(financial_part(index), asked, most), F.desc("score"), most=most).select("q_id", "chunk_id", "score")
 
 
 def focused_first(hits: DataFrame, top_k: int) -> DataFrame:
     """Hits of financial sections before others (column tier), if there are enough; by score and metric bonus."""
-    focused = T.contains_any(F.coalesce("section_title", F.lit("")), V.FINANCIAL_SECTIONS)
     n = F.count_if("focused").over(Window.partitionBy("q_id"))
-    out = hits.withColumn("focused", focused).withColumn("n__", n)
+    out = hits.withColumn("focused", is_financial(F.col("section_title"))).withColumn("n__", n)
     return out.withColumn("tier", F.when(F.col("focused") & (F.col("n__") >= max(3, top_k // 2)), 0).otherwise(1)).withColumn("focus_score", F.col("score") + F.when(F.col("tier") == 0, Q.metric_bonus(searchable())).otherwise(0.0)).drop("n__", "focused")
 
 
+def with_focus(order: DataFrame, index: Index, questions: DataFrame, config: RetrievalConfig) -> DataFrame:
+    """Financial questions' hits of financial sections before others: q_id, chunk_id, tier, score, by (the score to order by).
+
+    Those by focus tokens come first; with enough hits of financial sections, all of these do, by
+    score and metric bonus. Without vectors every lexical hit of a financial section counts.
+    """
+    focus = financial_focus(index, questions, config).withColumn("tier", F.lit(0))
+    if not config.vector:
+        more = lexical(financial_part(index), questions.where("category = 'financial'")).select("q_id", "chunk_id", F.lit(1).alias("tier"), "score")
+        order = order.unionByName(more.join(order.select("q_id", "chunk_id"), ["q_id", "chunk_id"], "left_anti"))
+    order = focus.unionByName(order.join(focus.select("q_id", "chunk_id"), ["q_id", "chunk_id"], "left_anti"))
+    bonus = index.chunks.where("chunk_level <> 'chapter'").where(is_financial(F.col("section_title"))).select("chunk_id", Q.metric_bonus(searchable()).alias("bonus"))
+    rows = order.join(questions.select("q_id", "category"), "q_id").join(bonus, "chunk_id", "left")
+    focused = (F.col("category") == "financial") & F.col("bonus").isNotNull()
+    enough = F.count_if(focused).over(Window.partitionBy("q_id")) >= max(3, config.top_k // 2)
+    first = focused & enough
+    return rows.withColumn("first__", first).select("q_id", "chunk_id", F.when(F.col("first__"), F.lit(-1)).otherwise(F.col("tier")).alias("tier"), "score", F.when(F.col("first__"), F.round(F.col("score") + F.col("bonus"), 9)).otherwise(F.col("score")).alias("by"))
+
+
 def rerank_bonus() -> Column:
     """The heuristic bonus of a hit in its question's category."""
     text, section = T.squeeze(F.lower("text")), F.lower(F.coalesce("section_title", F.lit("")))
@@ -246,34 +323,74 @@ def candidate_text(most: int = 1800) -> Column:
     return F.substring(F.concat_ws("\n", "document_title", F.coalesce("section_title", F.lit("")), T.squeeze(F.col("text"))), 1, most)
 
 
-def retrieve(index: Index, questions: DataFrame, config: RetrievalConfig = RetrievalConfig(), vectors: DataFrame | None = None) -> DataFrame:
+#: Scores of pairs that a model has given: one row for a question's hash, a chunk and a model's name.
+PAIRS = "query_hash string, chunk_id string, model string, score double"
+
+
+@dataclass(frozen=True)
+class Reranker:
+    """A model of pairs: ``score`` takes questions and texts (two series) and gives their scores; ``cache`` has known ones (PAIRS)."""
+
+    name: str
+    score: Callable[[pd.Series, pd.Series], pd.Series]
+    cache: DataFrame | None = None
+
+    def scored(self, pairs: DataFrame, most: int = 1800) -> DataFrame:
+        """Pairs (question, chunk_id and the chunk's columns) with model_score, and whether it was cached.
+
+        The model sees only the pairs that the cache lacks, in Arrow batches.
+        """
+        score = F.pandas_udf(self.score, "double")
+        rows = pairs.withColumn("query_hash", Q.query_hash(F.col("question")))
+        if self.cache is None:
+            return rows.withColumn("cached", F.lit(False)).withColumn("model_score", score("question", candidate_text(most)))
+        known = self.cache.where(F.col("model") == self.name).select("query_hash", "chunk_id", F.col("score").alias("known"))
+        rows = rows.join(known, ["query_hash", "chunk_id"], "left").withColumn("cached", F.col("known").isNotNull())
+        asked = rows.where("not cached").withColumn("model_score", score("question", candidate_text(most)))
+        return rows.where("cached").withColumn("model_score", F.col("known")).unionByName(asked).drop("known")
+
+    def next_cache(self, scored: DataFrame) -> DataFrame:
+        """The next generation of the cache: what it had, and the new scores."""
+        new = scored.where("not cached").select("query_hash", "chunk_id", F.lit(self.name).alias("model"), F.col("model_score").alias("score")).distinct()
+        return new if self.cache is None else self.cache.unionByName(new)
+
+
+def retrieve(index: Index, questions: DataFrame, config: RetrievalConfig = RetrievalConfig(), vectors: DataFrame | None = None, reranker: Reranker | None = None) -> DataFrame:
     """The final hits of each question: q_id, rank, chunk_id, score, terms and the chunk's columns.
 
-    Ranks are dense and chunks stand once. Paragraphs come first, chapters fill up to top_k; a question with
-    targets gets theirs alone if at least min(3, top_k) hits match. Questions are (q_id, question); ``vectors`` (q_id,
-    chunk_id, rank) are used if the configuration says so.
+    Ranks are dense and chunks stand once. Financial sections come first for financial questions; a
+    heuristic bonus or a ``reranker``'s blended scores order the first candidates anew. Paragraphs come
+    first, chapters fill up to top_k; a question with targets gets theirs alone if at least min(3,
+    top_k) hits match. Questions are (q_id, question); ``vectors`` (q_id, chunk_id, rank) are used if
+    the configuration says so.
     """
     asked = with_isolation(understood(questions), index.chunks, config.top_k)
-    scored = lexical(index, asked, config)
-    paragraphs = scored.where("chunk_level <> 'chapter'")
+    most = max(config.top_k, config.candidates) + (config.lexical_candidates if config.vector else 0)
+    scored = lexical(index, asked, most)
+    paragraphs = ranked(scored.where("chunk_level <> 'chapter'"), F.desc("score"), most=most).drop("rank")
     order = paragraphs.select("q_id", "chunk_id", F.lit(1).alias("tier"), "score")
-    order = order.unionByName(category_fallback(paragraphs, index, asked, config).withColumn("tier", F.lit(1)))
     if config.top_k >= config.fallback_from:
-        order = order.unionByName(context_expansion(paragraphs, index.chunks, asked, config).drop("seed").withColumn("tier", F.lit(1)))
+        order = order.unionByName(category_fallback(paragraphs, index, asked, config, complete=False).withColumn("tier", F.lit(1)))
+        seeds = ranked(order.drop("tier"), F.desc("score"), most=config.expansion_seeds).drop("rank").join(index.chunks, "chunk_id")
+        near = not_scored(index, asked, context_expansion(seeds, index.chunks, asked, config))
+        near = near.join(order.select("q_id", "chunk_id"), ["q_id", "chunk_id"], "left_anti")
+        order = order.unionByName(near.drop("seed").withColumn("tier", F.lit(1)))
     if config.vector and vectors is not None:
         titles = index.chunks.select("chunk_id", "document_title")
-        vectors = vectors.join(titles, "chunk_id", "left").join(F.broadcast(asked.select("q_id", "isolated", "targets")), "q_id", "left")
+        vectors = vectors.join(titles, "chunk_id", "left").join(asked.select("q_id", "isolated", "targets"), "q_id", "left")
         vectors = vectors.where(~F.coalesce("isolated", F.lit(False)) | Q.matches_targets(F.col("document_title"), F.col("targets"))).select("q_id", "chunk_id", "rank")
         order = fused(order.drop("tier"), vectors, config).withColumn("tier", F.col("tier") + 1)
-    focus = financial_focus(index, asked, config).withColumn("tier", F.lit(0))
-    order = focus.unionByName(order.join(focus.select("q_id", "chunk_id"), ["q_id", "chunk_id"], "left_anti"))
-    first = ranked(order, F.col("tier"), F.desc("score"), most=max(config.top_k, config.candidates), name="place")
-    rows = first.join(index.chunks, "chunk_id").join(asked.select("q_id", "category", "targets"), "q_id")
-    if config.rerank:
+    order = with_focus(order, index, asked, config)
+    first = ranked(order, F.col("tier"), F.desc("by"), most=max(config.top_k, config.candidates), name="place")
+    rows = first.join(index.chunks, "chunk_id").join(asked.select("q_id", "question", "category", "targets"), "q_id")
+    if config.rerank and reranker is not None:
+        rows = blended(reranker.scored(rows, config.rerank_chars), config.recall_weight).withColumn("score", F.col("blend"))
+        rows = ranked(rows, F.desc("score"), F.col("place"), most=config.top_k)
+    elif config.rerank:
         rows = rows.withColumn("score", F.round(F.col("score") + rerank_bonus(), 9))
         rows = ranked(rows, F.desc("score"), most=config.top_k)
     else:
-        rows = ranked(rows, F.col("tier"), F.desc("score"), most=config.top_k)
+        rows = ranked(rows, F.col("tier"), F.desc("by"), most=config.top_k)
     chapters = scored.where("chunk_level = 'chapter'").select("q_id", "chunk_id", "score", "document_title", "targets")
     rows = completed(rows.select("q_id", "chunk_id", "score", "document_title", "targets", "rank"), chapters, config.top_k)
     rows = rows.select("q_id", "rank", "chunk_id", "score").join(index.chunks, "chunk_id")

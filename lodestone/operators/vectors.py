@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import query as Q
 from lodestone.functions import text as T
 
 
@@ -30,13 +32,13 @@ def to_embed(docs: DataFrame, done: DataFrame, model: str) -> DataFrame:
 
 
 def hash_model(dimension: int) -> Callable[[pd.Series], list[np.ndarray]]:
-    """A stand-in for a model: unit vectors from a hash of the text. Any function of a batch of texts will do."""
+    """A stand-in for a model: unit vectors from the repeated SHA-256 of the text. Any function of a batch of texts will do."""
     import hashlib
 
     def embed(texts: pd.Series) -> list[np.ndarray]:
         out = []
         for text in texts:
-            data = np.frombuffer(hashlib.shake_128(text.encode()).digest(dimension), np.uint8) / 255.0 * 2 - 1
+            data = np.resize(np.frombuffer(hashlib.sha256(text.encode()).digest(), np.uint8), dimension) / 255.0 * 2 - 1
             out.append((data / np.linalg.norm(data)).astype(np.float32))
         return out
 
@@ -54,26 +56,96 @@ def embed(rows: DataFrame, model: Callable[[pd.Series], list[np.ndarray]], dimen
     return rows.withColumn("embedding", run("embed_text")).where(F.size("embedding") == dimension).drop("embed_text")
 
 
-def similarities(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """Cosine similarity (9 decimals) of all rows with a stated set of queries (q_id, embedding)."""
-    left = rows.withColumn("size__", F.sqrt(dot("embedding", "embedding"))).where("size__ > 0")
-    right = asked.select("q_id", F.col("embedding").alias("asked__")).withColumn("asked_size__", F.sqrt(dot("asked__", "asked__"))).where("asked_size__ > 0")
-    return left.crossJoin(right).withColumn("similarity", F.round(dot("embedding", "asked__") / (F.col("size__") * F.col("asked_size__")), 9)).drop("size__", "asked__", "asked_size__", "embedding")
+def embedded_questions(questions: DataFrame, model: Callable[[pd.Series], list[np.ndarray]], name: str, dimension: int, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions (q_id, question) with their embedding, and the next generation of the cache (query_hash, model, embedding).
+
+    The model sees each different question that the cache lacks once; wrong dimensions are dropped.
+    """
+    asked = questions.withColumn("query_hash", Q.query_hash(F.col("question")))
+    known = cache.where(F.col("model") == name).select("query_hash", "embedding")
+    missing = asked.join(known.select("query_hash"), "query_hash", "left_anti").groupBy("query_hash").agg(F.min("question").alias("embed_text"))
+    new = embed(missing, model, dimension)
+    both = known.unionByName(new.select("query_hash", "embedding"))
+    after = cache.unionByName(new.select("query_hash", F.lit(name).alias("model"), "embedding"))
+    return asked.join(both, "query_hash").select("q_id", "question", "embedding"), after
+
+
+#: Rows and queries that a task compares at once, and queries that are sent to all tasks.
+BLOCK_ROWS, BLOCK_QUERIES, MOST_QUERIES = 4_096, 256, 20_000
+
+
+def _usable(name: str, vector: str) -> Column:
+    """Rows with a name, and a vector of finite components that isn't all zero."""
+    return F.col(name).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
+
+
+def best_matches(rows: DataFrame, asked: DataFrame, k: int, least: float = -1.0) -> DataFrame:
+    """The k rows (id, weight, embedding) of the highest weight times cosine similarity for each query (q_id, embedding).
+
+    Columns: q_id, id, similarity, value (both of 9 decimals), rank; ties go to the smaller id. Only
+    similarities of at least ``least`` count. ``asked`` is a stated set: each block of rows gives its
+    own k best of every query, and these are merged; MOST_QUERIES queries are sent at once. Vectors
+    that are null, hold null or non-finite components, are all zero or have another dimension take no part.
+    """
+    spark, kinds = rows.sparkSession, dict(rows.dtypes)
+    plain = rows.where(_usable("id", "embedding")).select("id", F.col("weight").cast("double").alias("weight"), F.col("embedding").cast("array<double>").alias("embedding"))
+    told = asked.where(_usable("q_id", "embedding")).select("q_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    shares = max(1, -(-told.count() // MOST_QUERIES))
+    found = None
+    for share in range(shares):
+        table = told.where(F.pmod(F.xxhash64("q_id"), F.lit(shares)) == share).toArrow().sort_by("q_id")
+        sent = spark.sparkContext.broadcast((table.column("q_id").to_pylist(), table.column("embedding").to_pylist()))
+        part = plain.mapInArrow(_block_best(sent, k, least), f"q_id {dict(asked.dtypes)['q_id']}, id {kinds['id']}, similarity double, value double")
+        found = part if found is None else found.unionByName(part)
+    order = Window.partitionBy("q_id").orderBy(F.desc("value"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _block_best(sent, k: int, least: float):
+    """A function of batches (id, weight, embedding) that gives each query's k best rows of each block."""
+
+    def run(batches):
+        names, asked = sent.value
+        of_size: dict[int, list[int]] = {}
+        for at, vector in enumerate(asked):
+            of_size.setdefault(len(vector), []).append(at)
+        unit = {size: (m := np.array([asked[at] for at in at_rows]), np.sqrt((m * m).sum(axis=1))) for size, at_rows in of_size.items()}
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                block = batch.slice(start, BLOCK_ROWS)
+                ids, weight, vectors = block.column(0).to_pylist(), block.column(1).to_numpy(zero_copy_only=False), block.column(2)
+                length = np.diff(vectors.offsets.to_numpy())
+                by_id = np.array(sorted(range(len(ids)), key=ids.__getitem__), np.int64)
+                for size in np.unique(length).tolist():
+                    if size not in unit:
+                        continue
+                    own = by_id[length[by_id] == size]
+                    values = vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                    norm = np.sqrt((values * values).sum(axis=1))
+                    for first in range(0, len(of_size[size]), BLOCK_QUERIES):
+                        w, w_norm = (x[first : first + BLOCK_QUERIES] for x in unit[size])
+                        similarity = np.round(w @ values.T / (w_norm[:, None] * norm), 9) + 0.0
+                        value = np.where(similarity >= least, np.round(weight[own] * similarity, 9) + 0.0, -np.inf)
+                        order = np.argsort(-value, axis=1, kind="stable")[:, :k]
+                        row, place = np.nonzero(np.take_along_axis(value, order, axis=1) > -np.inf)
+                        at = order[row, place]
+                        yield pa.RecordBatch.from_pydict({"q_id": [names[of_size[size][first + r]] for r in row], "id": [ids[x] for x in own[at]], "similarity": similarity[row, at], "value": value[row, at]})
+
+    return run
 
 
 def recalled(memories: DataFrame, asked: DataFrame, k: int = 4, least: float = 0.60) -> DataFrame:
     """The k memories of the highest importance times similarity, from a least similarity on."""
-    order = Window.partitionBy("q_id").orderBy(F.desc(F.round(F.col("importance") * F.col("similarity"), 9)), "memory_id")
-    rows = similarities(memories, asked).where(F.col("similarity") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return rows.select("q_id", "memory_id", F.round("similarity", 6).alias("similarity"), "rank")
+    rows = best_matches(memories.select(F.col("memory_id").alias("id"), F.col("importance").alias("weight"), "embedding"), asked, k, least)
+    return rows.select("q_id", F.col("id").alias("memory_id"), F.round("similarity", 6).alias("similarity"), "rank")
 
 
 def semantic_hits(cache: DataFrame, asked: DataFrame, as_of: Column, least: float = 0.95) -> DataFrame:
     """Each query's nearest unexpired entry, and whether it is near enough."""
-    live = cache.where(F.col("expires_at").isNull() | (F.col("expires_at") > as_of)).drop("expires_at")
-    best = similarities(live, asked).groupBy("q_id").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "entry_id")).alias("best"))
-    similarity = -F.col("best.less")
-    return best.select("q_id", F.when(similarity >= least, F.col("best.entry_id")).alias("entry_id"), F.round(similarity, 6).alias("similarity"), (similarity >= least).alias("hit"))
+    live = cache.where(F.col("expires_at").isNull() | (F.col("expires_at") > as_of))
+    best = best_matches(live.select(F.col("entry_id").alias("id"), F.lit(1.0).alias("weight"), "embedding"), asked, 1)
+    similarity = F.col("similarity")
+    return best.select("q_id", F.when(similarity >= least, F.col("id")).alias("entry_id"), F.round(similarity, 6).alias("similarity"), (similarity >= least).alias("hit"))
 
 
 def embedding_coverage(chunks: DataFrame, done: DataFrame, *by: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import corpus, retrieval
-from lodestone.operators.index import Index, saved
+from lodestone.operators.index import Index, shared_index
 from lodestone.sources import shared
 
 
@@ -35,30 +35,36 @@ def understood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of all chunks, written to the shared folder: questions read it many times."""
-    return saved(chunks(spark, sf_dir), f"{shared.shared_folder(spark)}/index-{shared.unique()}")
+    """The index of all chunks, made once for each corpus and read by every query."""
+    return shared_index(spread(read(spark, sf_dir, "documents")), shared.shared_folder(spark))
+
+
+def indexed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as the index has them, cut once."""
+    return index(spark, sf_dir).chunks
 
 
 def joined(array) -> F.Column:
     return F.array_join(array, " ")
 
 
-def vector_ranks(spark: SparkSession, sf_dir: str, k: int = 1_000_000) -> DataFrame:
-    """The vectors in the order of distance from the vector that has a question's number."""
+def vector_ranks(spark: SparkSession, sf_dir: str, k: int, known: DataFrame | None = None) -> DataFrame:
+    """The k vectors, of those with a ``known`` chunk_id, that are nearest to the vector that has a question's number."""
     vectors = read(spark, sf_dir, "embeddings")
     named = vectors.select(F.concat(F.col("vec_id").cast("string"), F.lit("-1")).alias("chunk_id"), "embedding")
+    named = named if known is None else named.join(known, "chunk_id", "left_semi")
     asked = questions(spark, sf_dir).select("q_id").join(vectors.select(F.col("vec_id").alias("q_id"), "embedding"), "q_id")
     return retrieval.nearest(named, asked, k)
 
 
-def vector_hits(spark: SparkSession, sf_dir: str, k: int = 1_000_000) -> DataFrame:
-    known = chunks(spark, sf_dir).select("chunk_id", "document_title", "section_title", "page_start", "page_end", "text")
+def vector_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    known = indexed_chunks(spark, sf_dir).select("chunk_id", "document_title", "section_title", "page_start", "page_end", "text")
     return vector_ranks(spark, sf_dir, k).join(known, "chunk_id")
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A case for each question, with a gold title, keywords and a gold chunk."""
-    gold = chunks(spark, sf_dir).select(F.col("chunk_id").alias("gold_chunk"), F.col("document_title").alias("gold_title"), F.col("section_title").alias("gold_section"), F.col("page_start").alias("g_first"), F.col("page_end").alias("g_last"))
+    gold = indexed_chunks(spark, sf_dir).select(F.col("chunk_id").alias("gold_chunk"), F.col("document_title").alias("gold_title"), F.col("section_title").alias("gold_section"), F.col("page_start").alias("g_first"), F.col("page_end").alias("g_last"))
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("question"), F.lit("[a-z]+"), 0), lambda w: F.char_length(w) >= 9))
     rows = questions(spark, sf_dir).select("q_id", "question", F.concat(F.lit("src"), (F.col("q_id") % 20).cast("string")).alias("gold_doc"), F.lit(None).cast("int").alias("gold_first"), F.lit(None).cast("int").alias("gold_last"), words.alias("keywords"), F.concat((F.col("q_id") + 1).cast("string"), F.lit("-1")).alias("gold_chunk"))
     return rows.join(gold, "gold_chunk", "left")

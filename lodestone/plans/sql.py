@@ -124,8 +124,12 @@ def without_noise(x: str) -> str:
     return f"list_filter({x}, lambda t: NOT list_contains({array(V.STOPWORDS + V.NOISE_TOKENS)}, t) AND NOT regexp_matches(t, '^\\d+$'))"
 
 
+def expanded(x: str) -> str:
+    return f"array_to_string({expansion(x)}, ' ')"
+
+
 def query_tokens(x: str) -> str:
-    return without_noise(tokens(f"array_to_string({expansion(x)}, ' ')"))
+    return without_noise(tokens(expanded(x)))
 
 
 def section_bonus(section: str, name: str) -> str:
