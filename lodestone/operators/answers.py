@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,10 @@ def extractive_answer(sentences: DataFrame) -> DataFrame:
     return rows.select("q_id", F.concat(F.lit("基于检索到的资料，\n"), F.array_join(F.col("lines.line"), "\n")).alias("answer"))
 
 
+#: Fixed value: the note under an answer that lost numbers.
+REMOVED_NOTE = "\n\n注：已移除未在证据中出现的数值。"
+
+
 def grounded(answer: Column, evidence: Column) -> Column:
     """Whether every number of the answer stands in the evidence."""
     return F.size(F.array_except(T.numbers(answer), T.numbers(evidence))) == 0
@@ -45,7 +52,7 @@ def guarded(answer: Column, evidence: Column) -> Column:
     all_found = F.regexp_extract_all(answer, F.lit(pattern), 0)
     kept = F.zip_with(split, F.concat(all_found, F.array(F.lit(""))), lambda part, x: F.concat(part, F.when(F.array_contains(wrong, x), "").otherwise(x)))
     cleaned = T.strip(F.regexp_replace(F.array_join(kept, ""), r"\s{2,}", " "))
-    return F.when((answer == "") | (F.size(known) == 0), answer).when(F.size(wrong) == 0, cleaned).otherwise(F.concat(cleaned, F.lit("\n\n注：已移除未在证据中出现的数值。")))
+    return F.when((answer == "") | (F.size(known) == 0), answer).when(F.size(wrong) == 0, cleaned).otherwise(F.concat(cleaned, F.lit(REMOVED_NOTE)))
 
 
 def labelled_numbers(text: Column, labels: list[str], reach: int = 160) -> Column:
@@ -133,6 +140,46 @@ def prompt(question: Column, sources: Column, facts: Column, most: int = 700) ->
     return F.concat_ws("\n\n", F.lit("Answer only from the sources and cite them as [n]."), F.concat(F.lit("Question: "), question), F.when(facts != "", F.concat(F.lit("Facts:\n"), facts)), F.array_join(shown, "\n\n"))
 
 
+#: The answer where nothing was found, and the heading of the metrics under an ungrounded answer.
+NOTHING_FOUND = "基于检索到的资料，\n当前检索结果不足以直接回答，需要扩大检索范围。"
+METRICS_HEADING = "\n\n指标摘录（来自证据）：\n"
+
+
+def composed(hits: DataFrame, questions: DataFrame, model: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
+    """Answers of questions (q_id, question, tokens) from their hits: q_id, question, prompt, answer, sources, chunk_ids, used_model, backend.
+
+    A direct fact comes first. Else ``model`` answers the prompt, in Arrow batches; numbers that the
+    hits lack go from its answer, and if some did, the metrics of the hits are added. Without a model,
+    or if it gives nothing, the answer is extracted. Citations of no source are taken out.
+    """
+    rows = hits.select("q_id", "rank", "chunk_id", "document_title", "page_start", "page_end", "text")
+    rows = rows.join(questions.select("q_id", "question", "tokens"), "q_id")
+    cited = F.struct("rank", "chunk_id", T.citation(F.col("document_title"), F.col("page_start"), F.col("page_end")).alias("citation"), F.col("document_title").alias("title"), "text")
+    found = rows.groupBy("q_id").agg(F.sort_array(F.collect_list(cited)).alias("s"))  # a question's hits are few
+    evidence = F.array_join("s.text", " ")
+    facts = rendered_metrics(labelled_numbers(F.array_join("s.text", "\n"), V.METRIC_LABELS), unit_of(F.array_join("s.text", "\n")))
+    told = questions.select("q_id", "question").join(found, "q_id", "left").withColumn("facts", F.coalesce(facts, F.lit(""))).withColumn("evidence", F.coalesce(evidence, F.lit("")))
+    sources = F.transform("s", lambda x: F.struct(x["title"].alias("title"), x["text"].alias("text")))
+    told = told.withColumn("prompt", prompt(F.col("question"), F.coalesce(sources, F.array().cast("array<struct<title:string,text:string>>")), F.col("facts")))
+    extracted = extractive_answer(best_sentence(rows)).withColumnRenamed("answer", "extracted")
+    direct = direct_facts(rows).select("q_id", F.col("answer").alias("direct"))
+    told = told.join(extracted, "q_id", "left").join(direct, "q_id", "left")
+    if model is None:
+        told = told.withColumn("told__", F.lit(None).cast("string"))
+    else:
+        asked = told.where("direct is null").select("q_id", F.pandas_udf(model, "string")("prompt").alias("told__"))
+        told = told.join(asked, "q_id", "left")
+    kept = guarded(F.col("told__"), F.col("evidence"))
+    whole = F.when(~F.endswith(kept, F.lit(REMOVED_NOTE)) | (F.col("facts") == ""), kept).otherwise(F.concat(F.rtrim(kept), F.lit(METRICS_HEADING), F.col("facts")))
+    modelled = F.when(F.col("direct").isNull() & (F.trim(kept) != ""), whole)
+    told = told.withColumn("modelled", modelled)
+    answer = F.coalesce("direct", "modelled", "extracted", F.lit(NOTHING_FOUND))
+    n = F.coalesce(F.size("s"), F.lit(0))
+    backend = F.when(F.col("direct").isNotNull(), "direct-extractive").when(F.col("modelled").isNotNull(), "model").otherwise("extractive")
+    shown = F.transform("s", lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["citation"]))
+    return told.select("q_id", "question", "prompt", T.clean_citations(answer, n).alias("answer"), shown.alias("sources"), F.col("s.chunk_id").alias("chunk_ids"), F.coalesce(backend == "model", F.lit(False)).alias("used_model"), backend.alias("backend"))
+
+
 def fact_company(question: Column, titles: Column) -> Column:
     """The first company that the question names, else the first that a source's title does."""
     lowered = F.lower(question)

@@ -153,3 +153,36 @@ def ingest_versions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     highest = existing.groupBy("document_key").agg(F.max("version_no").alias("highest"))
     order = Window.partitionBy("document_key").orderBy("seq")
     return first.join(highest, "document_key", "left").select("document_key", "content_hash", "seq", (F.coalesce("highest", F.lit(0)) + F.row_number().over(order)).cast("long").alias("version_no"))
+
+
+def ingested(documents: DataFrame, versions: DataFrame, parts: DataFrame, incoming: DataFrame, cut) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The next generation of documents, versions and chunks after files came in.
+
+    ``incoming`` has document_key, file_hash, content_hash, seq and the columns that ``cut`` makes chunks
+    (with document_key) of. A document is replaced by its key; a known content is no new version, and
+    its document's chunks stay; the chunks of documents with a new version are written anew, from the
+    version that came last.
+    """
+    new = ingest_versions(versions, incoming)
+    newest = new.groupBy("document_key").agg(F.max("seq").alias("seq"))
+    texts = incoming.join(newest, ["document_key", "seq"])
+    rows = incoming.groupBy("document_key").agg(F.max_by("file_hash", "seq").alias("file_hash"), F.max("seq").alias("seq"))
+    documents = documents.join(rows.select("document_key"), "document_key", "left_anti").unionByName(rows)
+    versions = versions.unionByName(new.select(versions.columns))
+    parts = parts.join(newest.select("document_key"), "document_key", "left_anti").unionByName(cut(texts).select(parts.columns))
+    return documents, versions, parts
+
+
+def seeded(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks of markdown files (path, text): a chunk for each section.
+
+    Documents: document_key (the text's hash), title (of the file's name), file_name. Chunks:
+    document_key, chunk_index, section_title, char_end, token_count, text. Files of one text are one
+    document, by the least path.
+    """
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    one = files.groupBy(F.sha2("text", 256).alias("document_key")).agg(F.min("path").alias("path"), F.min("text").alias("text"))
+    documents = one.select("document_key", F.replace(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("_"), F.lit(" ")).alias("title"), name.alias("file_name"))
+    order = Window.partitionBy("document_key").orderBy("section_no")
+    rows = markdown_sections(one, "document_key").withColumn("chunk_index", F.row_number().over(order) - 1)
+    return documents, rows.select("document_key", "chunk_index", F.col("title").alias("section_title"), F.char_length("text").alias("char_end"), F.greatest(F.lit(1), F.size(T.words(F.col("text")))).alias("token_count"), "text")

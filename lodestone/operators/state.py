@@ -5,7 +5,8 @@ Every function takes the present rows and gives the next generation; times are e
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
@@ -51,6 +52,30 @@ def remembered(turns: DataFrame, importance: float = 0.4, most: int = 3, longer_
     return lines.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("thread_id", "nth", F.col("line").alias("content"), F.lit(importance).alias("importance"))
 
 
+JOB = "job_id long, document_id long, job_type string, status string, retries int, max_retries int, payload string, created_at timestamp, available_at timestamp"
+
+
+def enqueued(jobs: DataFrame, new: DataFrame, as_of: Column, max_retries: int = 3) -> DataFrame:
+    """Jobs (JOB) with new ones (job_id, document_id, job_type, payload): queued, due at once. A known job_id stays as it is."""
+    rows = new.select("job_id", "document_id", "job_type", F.lit("queued").alias("status"), F.lit(0).alias("retries"), F.lit(max_retries).alias("max_retries"), "payload", as_of.alias("created_at"), as_of.alias("available_at"))
+    return added(jobs, rows, ["job_id"])
+
+
+def listed(jobs: DataFrame, status: str | None = None, most: int = 50) -> DataFrame:
+    """The newest jobs, of one status if one is given."""
+    rows = jobs if status is None else jobs.where(F.col("status") == status)
+    return rows.orderBy(F.desc("created_at"), "job_id").limit(most)
+
+
+def invalidated(cache: DataFrame, keys: DataFrame, by: str = "cache_key") -> DataFrame:
+    """A cache without the entries of some keys; a null key is none."""
+    return cache.join(keys.select(by).distinct(), by, "left_anti")
+
+
+def unexpired(cache: DataFrame, as_of: Column) -> DataFrame:
+    return cache.where(fresh(as_of))
+
+
 def claimable(jobs: DataFrame, as_of: Column, slots: int = 1, *by: str) -> DataFrame:
     """The oldest due jobs that are queued or to be retried: up to ``slots`` of each group."""
     due = jobs.where(F.col("status").isin("queued", "retry") & (F.col("available_at") <= as_of))
@@ -90,23 +115,30 @@ def recent_in_window(requests: DataFrame, seconds: int = 60) -> DataFrame:
 
 
 def rate_limited(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
-    """Requests (client, seq, at) with ``rejected``: a client has ``limit`` accepted ones in the window; rejected ones don't count."""
-    schema = f"client {dict(requests.dtypes)['client']}, seq long, rejected boolean"
+    """Requests (client, seq, at) with ``rejected``: a client has ``limit`` accepted ones in the window; rejected ones don't count.
 
-    def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "seq"])
-        accepted: list[pd.Timestamp] = []
-        out, first = [], 0
-        for at in rows["at"]:
-            while first < len(accepted) and (at - accepted[first]).total_seconds() > seconds:
-                first += 1
-            full = len(accepted) - first >= limit
-            if not full:
-                accepted.append(at)
-            out.append(full)
-        return pd.DataFrame({"client": rows["client"], "seq": rows["seq"], "rejected": out})
+    A client's requests come to one task in the order of time, and stream through it: it holds the
+    accepted ones of one window, ``limit`` at most, however many requests there are.
+    """
+    schema = f"client {dict(requests.dtypes)['client']}, seq long, rejected boolean"
 
-    return requests.groupBy("client").applyInPandas(judge, schema)
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, accepted = None, deque()
+        for rows in batches:
+            out = []
+            for name, at in zip(rows["client"], rows["at"], strict=True):
+                if name != client:
+                    client, accepted = name, deque()
+                while accepted and (at - accepted[0]).total_seconds() > seconds:
+                    accepted.popleft()
+                full = len(accepted) >= limit
+                if not full:
+                    accepted.append(at)
+                out.append(full)
+            yield pd.DataFrame({"client": rows["client"], "seq": rows["seq"], "rejected": out})
+
+    ordered = requests.select("client", "seq", "at").where("client is not null").repartition("client").sortWithinPartitions("client", "at", "seq")
+    return ordered.mapInPandas(judge, schema)
 
 
 def tolerant_insert(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -124,6 +156,17 @@ def reviewed(reviews: DataFrame, facts: DataFrame, updates: DataFrame) -> tuple[
     return after, followed
 
 
+def review_created(reviews: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:
+    """Reviews with new ones (review_id, fact_id, reviewer, comment), pending; a known review_id stays as it is."""
+    rows = new.select("review_id", "fact_id", "reviewer", "comment", F.lit("pending").alias("status"), as_of.alias("created_at"))
+    return added(reviews, rows, ["review_id"])
+
+
+def pending_reviews(reviews: DataFrame) -> DataFrame:
+    """How many reviews wait, as the operations' metrics have it."""
+    return reviews.agg(F.count_if(F.col("status") == "pending").alias("pending_reviews"))
+
+
 def run_jobs(jobs: DataFrame, handlers: dict[str, Callable[[dict], dict]], as_of: datetime) -> list[dict]:
     """Run claimed jobs on the driver, one by one, by their type; each is a whole Spark job of its own.
 

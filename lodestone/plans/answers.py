@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.engine import ANSWERS, Engine
 from lodestone.functions import query as Q
 from lodestone.functions import text as T
 from lodestone.functions import vocabulary as V
+from lodestone.operators import agent
 from lodestone.operators import answers as A
 from lodestone.plans import sql as S
-from lodestone.plans.base import joined, questions, read, vector_hits
+from lodestone.plans.base import index, joined, questions, read, understood, vector_hits
+from lodestone.sources import shared, tables
 
 
 def _docs(spark, sf_dir):
@@ -29,6 +32,51 @@ def extractive_answers(spark, sf_dir):
     return A.extractive_answer(A.best_sentence(_answered(spark, sf_dir)))
 
 
+def composed(spark, sf_dir):
+    """Whole answers of the questions over their nearest vectors' chunks, without a model."""
+    asked = questions(spark, sf_dir).select("q_id", "question", Q.query_tokens(F.col("question")).alias("tokens"))
+    rows = A.composed(vector_hits(spark, sf_dir, 6), asked)
+    return rows.select("q_id", F.md5("answer").alias("digest"), F.size("sources").alias("n_sources"), "used_model", "backend")
+
+
+def modelled(spark, sf_dir):
+    """Orders' answers by a model that gives a true and a false figure."""
+    rows = read(spark, sf_dir, "orders")
+    asked = rows.select(F.col("o_orderkey").alias("q_id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(", what is it worth?")).alias("question"), F.array(F.lit("order")).alias("tokens"))
+    text = F.concat(F.lit("营业收入 "), F.col("o_custkey").cast("string"))
+    hits = rows.select(F.col("o_orderkey").alias("q_id"), F.lit(1).alias("rank"), F.col("o_orderkey").cast("string").alias("chunk_id"), F.lit("Report").alias("document_title"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), text.alias("text"))
+    found = A.composed(hits, asked, lambda prompts: prompts.str.extract(r"营业收入 (\d+)")[0].radd("It is ").add(" and not 77.5 [1] [7]."))
+    return found.select("q_id", "answer", "used_model", "backend")
+
+
+def asked_engine(spark, sf_dir):
+    """The engine's answers to all questions."""
+    rows = Engine(index(spark, sf_dir)).ask(understood(spark, sf_dir))
+    return rows.select("q_id", F.md5("answer").alias("digest"), F.array_join("chunk_ids", " ").alias("chunk_ids"), "backend")
+
+
+def cached_answers(spark, sf_dir):
+    """Questions are asked twice: the second time all answers are cached."""
+    engine, asked = Engine(index(spark, sf_dir)), questions(spark, sf_dir).where("q_id % 10 = 0")
+    now = F.to_timestamp(F.lit("2024-01-01"))
+    _, cache, log = engine.ask_cached(asked, spark.createDataFrame([], ANSWERS), now)
+    rows, after, again = engine.ask_cached(asked, shared.kept(cache), now)
+    counts = [x.agg(F.count("*").alias(name)) for x, name in ((log, "logged"), (again, "logged_again"), (after, "entries"))]
+    out = rows.agg(F.count("*").alias("answers"), F.count_if("cached").alias("cached"))
+    for more in counts:
+        out = out.crossJoin(more)
+    return out
+
+
+def chatted(spark, sf_dir):
+    """A turn of every tenth question's thread: intents, titles and memories that it leaves."""
+    asked = questions(spark, sf_dir).where("q_id % 10 = 0").select("q_id", F.concat(F.lit("t"), F.col("q_id").cast("string")).alias("thread_id"), F.lit("u").alias("user_id"), "question")
+    threads, memories = (spark.createDataFrame([], tables.TABLES[name]) for name in ("threads", "memories"))
+    rows, after, kept = agent.chat(Engine(index(spark, sf_dir)), asked, threads, memories, F.to_timestamp(F.lit("2024-01-01")))
+    counts = kept.agg((F.count("*") > 0).alias("remembers"))
+    return after.join(rows.select("thread_id", "agent"), "thread_id").crossJoin(counts).select("thread_id", "title", "intent", "agent", "remembers")
+
+
 def numbers(spark, sf_dir):
     n = T.numbers(F.col("html"))
     return read(spark, sf_dir, "pages").select("page_id", F.size(n).alias("n"), joined(F.array_sort(n)).alias("numbers"))
@@ -115,16 +163,55 @@ def formatted_answers(spark, sf_dir):
     return answers.join(cited, "q_id").select("q_id", F.md5(F.concat("answer", F.lit("\n\n"), "sources")).alias("digest"))
 
 
-_H = f"""{S.VECTOR_HITS},
-toks AS (SELECT v.q_id, v.chunk_id, v.rank, v.text, v.document_title, v.page_start, v.page_end, b.text AS question, {S.query_tokens("b.text")} AS qtoks FROM vhits v JOIN benchmark b ON b.item_id = v.q_id WHERE rank <= 6),
-sent AS (SELECT q_id, chunk_id, rank, qtoks, unnest(s) AS sentence, unnest(range(len(s))) AS place FROM (SELECT *, ({S.sentences("text")})[1:8] AS s FROM toks)),
+_SENTENCES = f"""texts_ AS (SELECT v.q_id, v.chunk_id, v.rank, v.text, v.document_title, v.page_start, v.page_end, b.text AS question, {S.query_tokens("b.text")} AS qtoks FROM vhits v JOIN benchmark b ON b.item_id = v.q_id WHERE rank <= 6),
+sent AS (SELECT q_id, chunk_id, rank, qtoks, unnest(s) AS sentence, unnest(range(len(s))) AS place FROM (SELECT *, ({S.sentences("text")})[1:8] AS s FROM texts_)),
 own AS (SELECT *, {S.tokens("sentence")} AS stoks FROM sent),
 sc AS (SELECT q_id, rank, sentence, place, round(list_sum(list_concat([0e0], list_transform(list_distinct(stoks), lambda t: least(len(list_filter(stoks, lambda y: y = t)), len(list_filter(qtoks, lambda z: z = t)))))) + least(1e0, length(sentence) / 180e0), 9) AS score FROM own),
 best AS (SELECT q_id, rank, arg_max(sentence, {{'s': score, 'p': -place}}) AS sentence FROM sc GROUP BY q_id, rank)"""
+_H = f"{S.VECTOR_HITS},\n{_SENTENCES}"
 _CITE = "document_title || ' p.' || CASE WHEN page_start = page_end THEN CAST(page_start AS VARCHAR) ELSE page_start || '-' || page_end END"
 _ANSWER = "'基于检索到的资料，' || chr(10) || string_agg(rank || '. ' || CASE WHEN regexp_matches(sentence, '[。.!?！？]$') THEN sentence ELSE sentence || '。' END || ' [' || rank || ']', chr(10) ORDER BY rank)"
 
+
+
+def _cleaned(x: str, n: int) -> str:
+    """Citations beyond n (one digit) go."""
+    x = S.sub(S.sub(x, r"\[\s*\]", "''"), rf"\[0*(?:[{n + 1}-9]|[1-9]\d+)\]|\[0+\]", "''")
+    x = S.sub(x, r"(?i)(?:至|到|through)\s*([,.;，。；\s]|$)", r"'\1'")
+    x = S.sub(S.sub(x, r"\s+([,.;，。；])", r"'\1'"), r"[ \t]{2,}", "' '")
+    return S.strip(S.sub(x, r"\n{3,}", "chr(10) || chr(10)"))
+
+
+#: The six hits of the lexical retrieval with heuristic reranking.
+_SIX = f"""{S.LEXICAL}, para AS (SELECT * FROM hits WHERE chunk_level <> 'chapter'), top_ AS (SELECT * FROM ({S.ranked("para", "score DESC", "place")}) WHERE place <= 30),
+re AS (SELECT q_id, chunk_id, document_title, section_title, text, page_start, page_end, round(score + {S.RERANK_BONUS}, 9) AS score FROM top_),
+vhits AS (SELECT * FROM ({S.ranked("re", "score DESC")}) WHERE rank <= 6)"""
+
 QUERIES = {
+    "a12_composed": (
+        composed,
+        f"""WITH {_H}, a AS (SELECT q_id, {_ANSWER} AS answer FROM best WHERE rank <= 3 GROUP BY q_id), n AS (SELECT q_id, count(*) AS n FROM vhits WHERE rank <= 6 GROUP BY q_id)
+        SELECT b.item_id AS q_id, md5(coalesce(CASE n {" ".join(f"WHEN {k} THEN {_cleaned('answer', k)}" for k in range(1, 7))} END, '基于检索到的资料，' || chr(10) || '当前检索结果不足以直接回答，需要扩大检索范围。')) AS digest, CAST(n AS INTEGER) AS n_sources, FALSE AS used_model, 'extractive' AS backend
+        FROM benchmark b LEFT JOIN a ON a.q_id = b.item_id LEFT JOIN n ON n.q_id = b.item_id""",
+    ),
+    "a12_modelled": (
+        modelled,
+        """SELECT o_orderkey AS q_id, 'It is ' || o_custkey || ' and not' || CASE WHEN o_custkey = 1 THEN ' [1].' ELSE '.' END || chr(10) || chr(10) || '注：已移除未在证据中出现的数值。' || chr(10) || chr(10) || '指标摘录（来自证据）：' || chr(10) || '- 营业收入: ' || o_custkey AS answer, TRUE AS used_model, 'model' AS backend FROM orders""",
+    ),
+    "p01_ask": (
+        asked_engine,
+        f"""WITH {_SIX}, {_SENTENCES}, a AS (SELECT q_id, {_ANSWER} AS answer FROM best WHERE rank <= 3 GROUP BY q_id), n AS (SELECT q_id, string_agg(chunk_id, ' ' ORDER BY rank) AS chunk_ids FROM vhits GROUP BY q_id)
+        SELECT q_id, md5({_cleaned("answer", 6)}) AS digest, chunk_ids, 'extractive' AS backend FROM a JOIN n USING (q_id)""",
+    ),
+    "a12_cached_answers": (
+        cached_answers,
+        "SELECT count(*) AS answers, count(*) AS cached, count(DISTINCT lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) AS logged, CAST(0 AS BIGINT) AS logged_again, count(DISTINCT lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) AS entries FROM benchmark WHERE item_id % 10 = 0",
+    ),
+    "p07_chat": (
+        chatted,
+        f"""SELECT 't' || item_id AS thread_id, substring(text, 1, 80) AS title, i AS intent, CASE i WHEN 'financial' THEN 'financial_agent' ELSE 'react_planner' END AS agent, TRUE AS remembers FROM
+        (SELECT *, CASE WHEN c IN ('financial', 'market') THEN c WHEN c = 'technology' THEN 'technical' ELSE 'general' END AS i FROM (SELECT *, {S.category("text")} AS c FROM benchmark WHERE item_id % 10 = 0))""",
+    ),
     "a01_prompts": (
         prompts,
         f"""WITH {S.VECTOR_HITS} SELECT q_id, md5('Answer only from the sources and cite them as [n].' || chr(10) || chr(10) || 'Question: ' || any_value(b.text) || chr(10) || chr(10)

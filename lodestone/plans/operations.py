@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import query as Q
@@ -9,7 +11,7 @@ from lodestone.functions import text as T
 from lodestone.operators import retrieval as R
 from lodestone.operators import state as O
 from lodestone.plans import sql as S
-from lodestone.plans.base import chunks, questions, read, vector_hits
+from lodestone.plans.base import indexed_chunks, questions, read, vector_hits
 
 
 def _at(text):
@@ -49,7 +51,7 @@ def retrieval_cache(spark, sf_dir):
     hits = vector_hits(spark, sf_dir, 6)
     cache = hits.groupBy(F.col("q_id").alias("cache_key")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
     cache = cache.withColumn("chunk_ids", F.when(F.col("cache_key") % 7 == 0, F.concat("chunk_ids", F.array(F.lit("none")))).otherwise(F.col("chunk_ids"))).withColumn("expires_at", F.when(F.col("cache_key") % 5 == 0, _at("2023-12-31")))
-    return O.cache_lookup(cache, chunks(spark, sf_dir).select("chunk_id"), _at("2024-01-01"))
+    return O.cache_lookup(cache, indexed_chunks(spark, sf_dir).select("chunk_id"), _at("2024-01-01"))
 
 
 def answer_cache(spark, sf_dir):
@@ -75,6 +77,22 @@ def semantic_cache_set(spark, sf_dir):
     return rows.agg(F.count("*").alias("entries"), F.sum(F.char_length("text").cast("long")).alias("chars"), F.max("thread_id").alias("newest"))
 
 
+def semantic_cache_invalidated(spark, sf_dir):
+    """Entries expire a day after their order; those of a customer are taken out."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cache_key"), F.col("o_custkey").alias("owner"), O.expires(F.col("o_orderdate").cast("timestamp"), 1).alias("expires_at"))
+    gone = rows.where("owner % 10 = 3").select("cache_key")
+    left = O.unexpired(O.invalidated(rows, gone), _at("1995-01-01"))
+    return left.agg(F.count("*").alias("entries"), F.min("cache_key").alias("least"), F.sum("owner").alias("owners"))
+
+
+def enqueued_jobs(spark, sf_dir):
+    """Orders of even keys are jobs; all orders are enqueued."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("document_id"), F.col("o_orderpriority").alias("job_type"), F.lit("{}").alias("payload"))
+    jobs = O.enqueued(spark.createDataFrame([], O.JOB), rows.where("job_id % 2 = 0"), _at("1998-01-01"))
+    after = O.enqueued(jobs.withColumn("status", F.lit("succeeded")), rows, _at("1998-01-02"))
+    return O.listed(after, "queued").select("job_id", "document_id", "job_type", "status", "retries", "max_retries", "created_at")
+
+
 def threads(spark, sf_dir):
     rows = O.threads(_turns(spark, sf_dir))
     return rows.select("thread_id", "turn_count", "title", F.array_join("history", ",").alias("history"))
@@ -127,10 +145,26 @@ def reviews(spark, sf_dir):
     return O.reviewed(pending, facts, updates)[1].groupBy("status").agg(F.count("*").alias("n"))
 
 
+def _reviews(spark, sf_dir):
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("review_id"), F.col("doc_id").alias("fact_id"), F.concat(F.lit("user"), (F.col("doc_id") % 3).cast("string")).alias("reviewer"), F.lit("").alias("comment"), "quality")
+    old = O.review_created(spark.createDataFrame([], "review_id long, fact_id long, reviewer string, comment string, status string, created_at timestamp"), labels.where("quality = 1"), _at("2024-01-01"))
+    return O.review_created(old.withColumn("status", F.lit("approved")), labels, _at("2024-01-02"))
+
+
+def created_reviews(spark, sf_dir):
+    """Reviews of good documents were made and approved before all are made."""
+    return _reviews(spark, sf_dir).groupBy("status", "reviewer", "created_at").agg(F.count("*").alias("n"))
+
+
+def pending_reviews(spark, sf_dir):
+    return O.pending_reviews(_reviews(spark, sf_dir))
+
+
 def request_log_dedupe(spark, sf_dir):
-    """Of a client's requests with one code in an hour the first is kept."""
-    rows = _requests(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "created_at"))
-    return rows.groupBy("client", "status_code", "hour").agg(F.min("request_id").alias("request_id"))
+    """Requests are logged twice, those of even numbers before: a known request_id is no new row, and the first of two counts."""
+    rows = _requests(spark, sf_dir).select("request_id", "status_code", "client", "created_at")
+    old = rows.where("request_id % 2 = 0").withColumn("status_code", F.lit(0))
+    return O.added(old, rows.unionByName(rows), ["request_id"]).select("request_id", "status_code", "client")
 
 
 def requests_in_window(spark, sf_dir):
@@ -190,7 +224,7 @@ m AS (SELECT thread_id, CAST(row_number() OVER (PARTITION BY thread_id ORDER BY
 
 QUERIES = {
     "o01_corpus_fingerprint": (corpus_fingerprint, "SELECT sha256(count(*) || '|' || max(doc_id) || '|' || max(n_chars) || '|' || max(source)) AS fingerprint FROM documents"),
-    "o02_strategy_fingerprints": (strategy_fingerprints, None),
+    "o02_strategy_fingerprints": (strategy_fingerprints, " UNION ALL ".join(f"SELECT '{name}' AS strategy, sha256({S.q(repr(sorted(asdict(config).items())))}) AS fingerprint" for name, config in R.STRATEGIES.items())),
     "o03_retrieval_cache": (retrieval_cache, f"WITH {S.VECTOR_HITS} SELECT q_id AS cache_key, rank, chunk_id FROM (SELECT q_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY rank) AS INTEGER) AS rank, chunk_id FROM vhits WHERE rank <= 6) WHERE q_id % 7 <> 0 AND q_id % 5 <> 0"),
     "o04_answer_cache": (answer_cache, "SELECT item_id AS q_id, item_id % 3 = 0 AS fresh FROM benchmark WHERE item_id % 2 = 0 OR item_id % 3 = 0"),
     "o05_rerank_cache": (rerank_cache, f"WITH {S.VECTOR_HITS} SELECT q_id, count(*) AS misses FROM vhits WHERE rank <= 30 AND CAST(regexp_extract(chunk_id, '^(\\d+)-', 1) AS BIGINT) % 4 = 0 GROUP BY q_id"),
@@ -224,9 +258,29 @@ QUERIES = {
     ),
     "o13_recent_errors": (recent_errors, f"WITH {_REQ} SELECT request_id, status_code, created_at FROM req WHERE status_code >= 400 ORDER BY created_at DESC, request_id LIMIT 10"),
     "o14_reviews": (reviews, "SELECT coalesce(CASE WHEN quality = 1 THEN 'approved' WHEN quality = 0 THEN 'rejected' END, 'pending') AS status, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"),
-    "o15_request_log_dedupe": (request_log_dedupe, f"WITH {_REQ} SELECT client, status_code, date_trunc('hour', created_at) AS hour, min(request_id) AS request_id FROM req GROUP BY ALL"),
+    "o15_request_log_dedupe": (request_log_dedupe, f"WITH {_REQ} SELECT request_id, CASE WHEN request_id % 2 = 0 THEN 0 ELSE status_code END AS status_code, client FROM req"),
     "o16_requests_in_window": (requests_in_window, f"WITH {_REQ} SELECT request_id, count(*) OVER (PARTITION BY client ORDER BY created_at RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS in_window FROM req"),
-    "o16_rate_limited": (rate_limited, None),
+    "o16_rate_limited": (
+        rate_limited,
+        f"""WITH RECURSIVE {_REQ}, n AS (SELECT client, request_id AS seq, created_at AS at_, row_number() OVER (PARTITION BY client ORDER BY created_at, request_id) AS k FROM req),
+        w AS (SELECT client, seq, k, FALSE AS rejected, [at_] AS live FROM n WHERE k = 1 UNION ALL
+          SELECT client, seq, k, len(recent) >= 2, CASE WHEN len(recent) >= 2 THEN recent ELSE list_append(recent, at_) END FROM
+          (SELECT n.client, n.seq, n.k, n.at_, list_filter(w.live, lambda t: n.at_ - t <= INTERVAL 24 HOUR) AS recent FROM w JOIN n ON n.client = w.client AND n.k = w.k + 1))
+        SELECT client, seq, rejected FROM w""",
+    ),
+    "o06_invalidated": (
+        semantic_cache_invalidated,
+        "SELECT count(*) AS entries, min(o_orderkey) AS least, CAST(sum(o_custkey) AS BIGINT) AS owners FROM orders WHERE o_custkey % 10 <> 3 AND CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 DAY > TIMESTAMP '1995-01-01'",
+    ),
+    "o09_enqueued": (
+        enqueued_jobs,
+        "SELECT o_orderkey AS job_id, o_custkey AS document_id, o_orderpriority AS job_type, 'queued' AS status, 0 AS retries, 3 AS max_retries, TIMESTAMP '1998-01-02' AS created_at FROM orders WHERE o_orderkey % 2 = 1 ORDER BY o_orderkey LIMIT 50",
+    ),
+    "o13_pending_reviews": (pending_reviews, "SELECT count(*) AS pending_reviews FROM labels WHERE quality IS DISTINCT FROM 1"),
+    "o14_created_reviews": (
+        created_reviews,
+        "SELECT CASE WHEN quality = 1 THEN 'approved' ELSE 'pending' END AS status, 'user' || (doc_id % 3) AS reviewer, CASE WHEN quality = 1 THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-02' END AS created_at, count(*) AS n FROM labels GROUP BY ALL",
+    ),
     "o17_tolerant_insert": (tolerant_insert, "SELECT * FROM supplier UNION ALL SELECT s_suppkey + 1000000, s_name, NULL, NULL FROM supplier"),
     "o18_thread_list": (thread_list, f"SELECT thread_id, turn_count, title FROM ({_THREADS}) ORDER BY turn_count DESC, thread_id LIMIT 20"),
     "o19_health": (health, "SELECT 'documents' AS name, count(*) AS rows, count(*) > 0 AS healthy FROM documents UNION ALL SELECT 'embeddings', count(*), count(*) > 0 FROM embeddings UNION ALL SELECT 'events', count(*), count(*) > 0 FROM events"),

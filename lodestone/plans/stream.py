@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from lodestone.sources import shared
 from lodestone.streaming import events as E
 
 
 def _drained(spark, sf_dir, make, mode="complete"):
-    return E.drained(make(E.event_stream(spark, sf_dir)), "stream_" + uuid.uuid4().hex, mode)
+    return E.drained(make(E.event_stream(spark, sf_dir)), f"{shared.shared_folder(spark)}/stream-{shared.unique()}", mode)
 
 
 def tumbling(spark, sf_dir):

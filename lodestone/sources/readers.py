@@ -57,7 +57,10 @@ class _Text(HTMLParser):
 
 
 def parsed_text(html: Column) -> Column:
-    """Text of a page by a real parser, in Arrow batches; script and style content is kept, as data."""
+    """Text of a page by a real parser, in Arrow batches; script and style content is kept, as data.
+
+    It differs from ``text.html_text`` where entities other than the five common ones or broken tags stand.
+    """
 
     @F.pandas_udf("string")
     def parse(pages: pd.Series) -> pd.Series:
@@ -94,6 +97,26 @@ def crawl(links: DataFrame, seeds: DataFrame, depth: int = 2, most: int = 120) -
     return seen.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("url", "depth")
 
 
+def sitemap_links(files: DataFrame) -> DataFrame:
+    """What sitemaps (url, xml) name: url, target, in their order as place."""
+    rows = files.select("url", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), 1)).alias("place", "target"))
+    return rows.where("target <> ''").select("url", "place", F.replace("target", F.lit("&amp;"), F.lit("&")).alias("target"))
+
+
+def is_pdf(url: Column) -> Column:
+    return F.lower(url).rlike(r"\.pdf([?#]|$)")
+
+
+def discovered(links: DataFrame, seeds: DataFrame, depth: int = 2, most: int = 120) -> DataFrame:
+    """PDF links of crawled pages, of any host, and the first page by depth and url that has each: pdf_url, discovered_from.
+
+    Pages at ``depth`` aren't read any more.
+    """
+    reached = crawl(links.where(~is_pdf(F.col("target"))), seeds, depth, most).where(F.col("depth") < depth)
+    found = links.where(is_pdf(F.col("target"))).join(reached, "url")
+    return found.groupBy(F.col("target").alias("pdf_url")).agg(F.min_by("url", F.struct("depth", "url")).alias("discovered_from"))
+
+
 def write_json_lines(df: DataFrame, folder: str) -> str:
     path = f"{folder}/lines-{uuid.uuid4().hex}"
     df.write.json(path)

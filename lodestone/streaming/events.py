@@ -38,26 +38,38 @@ def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 THREAD = "user_id long, turn_count long, last_type string"
+#: A thread that had no event for so long, by the watermark, is forgotten.
+IDLE_MS = 30 * 24 * 3_600_000
 
 
-def thread_state(events: DataFrame) -> DataFrame:
-    """A user's thread: how many events there have been and the last one's type, kept across batches."""
+def thread_state(events: DataFrame, late: str = "1 day", idle_ms: int = IDLE_MS) -> DataFrame:
+    """A user's thread: how many events there have been and the last one's type, kept across batches until it is idle."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, last_at, last = state.get if state.exists else (0, "", "")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        count, at, event, last = state.get if state.exists else (0, 0, -1, "")
         for rows in batches:
             count += len(rows)
             newest = rows.sort_values(["ts", "event_id"]).iloc[-1]
-            if str(newest["ts"]) >= last_at:
-                last_at, last = str(newest["ts"]), newest["event_type"]
-        state.update((count, last_at, last))
+            if (newest["ts"].value, newest["event_id"]) >= (at, event):
+                at, event, last = newest["ts"].value, int(newest["event_id"]), newest["event_type"]
+        state.update((count, at, event, last))
+        state.setTimeoutTimestamp(max(at // 1_000_000, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({"user_id": [key[0]], "turn_count": [count], "last_type": [last]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, THREAD, "n long, at string, type string", "update", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, THREAD, "n long, at long, event long, type string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that there is and give what its sink holds."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that there is, and give the rows that its batches wrote to a shared folder.
+
+    A batch that is run again overwrites what it wrote; in complete mode the last batch counts.
+    """
+    spark = stream.sparkSession
+    rows = lambda number: f"{folder}/rows/batch={0 if mode == 'complete' else number}"
+    spark.createDataFrame([], stream.schema).write.parquet(rows(-1))
+    query = stream.writeStream.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(rows(number))).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/*")

@@ -44,6 +44,5 @@ def test_equals_duckdb(spark, duck, data, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs_without_an_oracle(spark, data, name):
-    assert QUERIES[name](spark, data).columns
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
