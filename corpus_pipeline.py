@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import bytenet, langid, lines, links, packing
 from lodestone.llm.entry import table, tokenizer_file
-from lodestone.llm.shared import written
+from lodestone.llm.shared import removed, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +15,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents in one of the languages that the corpus is labelled with."""
     return langid.with_a_language(docs)
 
 
@@ -36,15 +36,18 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", quality), ("language_id", language), ("line_dedup", line_dedup), ("ngram_jaccard_join", near_copies), ("packing", packed)]
 
-#: Learned models and token ids are beyond SQL; the tests hold run() against brute force.
+#: Learned models and token ids are beyond SQL; tests/llm/test_pipeline.py holds run() against plain versions of the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written and read again as the next one's documents."""
+    """All stages over the documents table, each written and read again as the next one's documents.
+
+    A stage's table is removed once the next one's is written.
+    """
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        if k:
+            removed(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
