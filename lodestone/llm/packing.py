@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lodestone.llm.arrow import Output, columns_of, rows_of
+from lodestone.llm.arrow import Output, columns_of, rows_of, tidy, tidy_table
+from lodestone.llm.shared import written
 from lodestone.llm.tokens import encoder
 
 #: Tails that one block packs together, and the bytes of ids that it may hold.
-BLOCK_TAILS, BLOCK_BYTES = 20_000, 48 << 20
-#: Sequence ids of one task begin at the task's partition number times this.
-TASK_STRIDE = 1 << 40
+BLOCK_TAILS, BLOCK_BYTES = 20_000, 24 << 20
+#: Sequence ids of one task begin at the task's partition number times TASK_STRIDE, those of a group
+#: of pieces that are packed anew at REPACKED and the group's number times GROUP_STRIDE.
+TASK_STRIDE, REPACKED, GROUP_STRIDE = 1 << 40, 1 << 62, 1 << 24
+#: A window with more room than its capacity by this is open: its pieces are packed anew with those of other tasks.
+OPEN_SHARE = 64
 
 
 class OpenWindows:
@@ -69,22 +76,13 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, in
     return placed
 
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
-
+#: A piece, its ids, and whether its window has more room than a share of OPEN_SHARE.
+PIECE = "doc_id long, doc_tokens long, start long, length long, sequence_id long, offset long, ids binary, open boolean"
+SCHEMA = pa.schema([*((c, pa.int64()) for c in ("doc_id", "doc_tokens", "start", "length", "sequence_id", "offset")), ("ids", pa.binary()), ("open", pa.bool_())])
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, terminator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of documents, packed into sequences of at most ``window`` tokens.
 
-    A document is its token ids and then ``terminator``; one that is longer than a window is first
-    cut into full windows, and what is left over is packed by best-fit decreasing among the tails
-    of the same block of a task. Rows: doc_id, doc_tokens, start, length, sequence_id, offset and
-    ids (little-endian unsigned 32-bit).
-
-    A null or empty text is the terminator alone. Repeated rows are packed each. Ties of length go
-    in the order of the rows. An empty table gives no pieces. Other columns are ignored. There is no
-    shuffle: a task packs what it reads, in blocks of bounded size, and numbers sequences from its
-    own partition number, so that a repeated task gives whole sequences again.
-    """
+def _dealt(docs: DataFrame, tokenizer: str, window: int, terminator: int) -> DataFrame:
+    """Each task's own packing of what it reads, in blocks of bounded size, numbered from its partition number on."""
 
     def run(batches):
         encode, out = encoder(tokenizer).encode, Output(SCHEMA)
@@ -95,18 +93,22 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, terminat
 
         def block():
             nonlocal sequence
-            placed = best_fit_decreasing([len(tail[3]) // 4 for tail in tails], window)
-            for (doc_id, n, start, ids), (number, offset) in zip(tails, placed, strict=True):
-                if out.add(doc_id, n, start, len(ids) // 4, sequence + number, offset, ids, size=len(ids)):
+            lengths = [len(tail[3]) // 4 for tail in tails]
+            placed = best_fit_decreasing(lengths, window)
+            used = [0] * (1 + max((number for number, _ in placed), default=-1))
+            for (number, _), length in zip(placed, lengths, strict=True):
+                used[number] += length
+            for (doc_id, n, start, ids), (number, offset), length in zip(tails, placed, lengths, strict=True):
+                if out.add(doc_id, n, start, length, sequence + number, offset, ids, OPEN_SHARE * (window - used[number]) > window, size=len(ids)):
                     yield out.batch()
-            sequence += 1 + max((number for number, _ in placed), default=-1)
+            sequence += len(used)
             tails.clear()
 
         for doc_id, text in rows_of(batches):
             ids = encode(text or "") + end
             n, full = len(ids) // 4, len(ids) // width
             for k in range(full):
-                if out.add(doc_id, n, k * window, window, sequence, 0, ids[k * width : (k + 1) * width], size=width):
+                if out.add(doc_id, n, k * window, window, sequence, 0, ids[k * width : (k + 1) * width], False, size=width):
                     yield out.batch()
                 sequence += 1
             if tail := ids[full * width :]:
@@ -118,5 +120,45 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, terminat
         yield from block()
         yield out.batch()
 
+    return docs.mapInArrow(tidy(run), PIECE)
+
+
+def _met(opened: DataFrame, groups: int, window: int) -> DataFrame:
+    """Pieces of open windows, packed anew in groups: sequence_id, offset, and those that take their place."""
+
+    def of_group(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("length", "descending"), ("sequence_id", "ascending"), ("offset", "ascending")])
+        first = REPACKED + table.column("grp")[0].as_py() * GROUP_STRIDE
+        placed = best_fit_decreasing(table.column("length").to_pylist(), window)
+        return pa.table({"sequence_id": table.column("sequence_id"), "offset": table.column("offset"), "new_sequence": pa.array([first + number for number, _ in placed], pa.int64()), "new_offset": pa.array([offset for _, offset in placed], pa.int64())})
+
+    grp = F.pmod(F.xxhash64("sequence_id", "offset"), F.lit(groups)).alias("grp")
+    return opened.select("sequence_id", "offset", "length", grp).groupBy("grp").applyInArrow(tidy_table(of_group), "sequence_id long, offset long, new_sequence long, new_offset long")
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = 1024, terminator: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pieces of documents, packed into sequences of at most ``window`` tokens.
+
+    A document is its token ids and then ``terminator``; one that is longer than a window is first
+    cut into full windows, and what is left over, its tail, is packed by best-fit decreasing. Rows:
+    doc_id, doc_tokens, start, length, sequence_id, offset and ids (little-endian unsigned 32-bit).
+
+    A task packs the tails that it reads, in blocks, and numbers sequences from its own partition
+    number, so that a repeated task gives whole sequences again. The tails of windows that stay open
+    are dealt into groups of about BLOCK_TAILS by a hash and packed again, so that padding doesn't
+    depend on how the documents are dealt out; only those pieces are shuffled. All pieces are written
+    in between to the shared folder.
+
+    A null or empty text is the terminator alone. Repeated rows are packed each. Ties of length go
+    in the order of the rows. An empty table gives no pieces. Other columns are ignored.
+    """
     source = columns_of(docs, id_col, text_col)
-    return source.select(source.doc_id.cast("long"), "text").mapInArrow(run, "doc_id long, doc_tokens long, start long, length long, sequence_id long, offset long, ids binary")
+    pieces = written(_dealt(source.select(source.doc_id.cast("long"), "text"), tokenizer, window, terminator))
+    columns = [c for c in pieces.columns if c != "open"]
+    opened = pieces.where("open")
+    n = opened.count()
+    if not n:
+        return pieces.select(columns)
+    new = _met(opened, ceil(n / BLOCK_TAILS), window)
+    moved = opened.join(new, ["sequence_id", "offset"]).withColumn("sequence_id", F.col("new_sequence")).withColumn("offset", F.col("new_offset"))
+    return pieces.where("not open").select(columns).unionByName(moved.select(columns))
