@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrow import columns_of, rows_where
+from lodestone.llm.arrow import columns_of, rows_where, slices, tidy
 
 #: Bytes of a step, steps that a filter reads, steps of half a chunk; values of a byte, filters, units.
 STEP, READ, HALF, DEPTH, FILTERS, UNITS = 4, 3, 32, 6, 24, 16
@@ -16,8 +16,9 @@ HALF_BYTES, TAIL = STEP * HALF, STEP * (READ - 1)
 SEGMENT = 64 * 1024
 #: Bytes that the network runs over at once.
 RUN_BYTES = 512 * 1024
-#: The training sample: labelled rows of each class at most, and their bytes at most.
-SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 16 * 1024
+#: The training sample: labelled rows of each class at most, and characters of one. A longer text is
+#: represented by so many passages, spread evenly from its beginning to its end.
+SAMPLE_ROWS, SAMPLE_CHARS, PASSAGES = 2_000, 12 * 1024, 4
 EPOCHS, BATCH, RATE = 14, 32, 4e-3
 #: Scores of at least this are predicted to be good.
 THRESHOLD = 0.3
@@ -30,7 +31,10 @@ def segments(text: bytes) -> list[bytes]:
 
 
 class Layout:
-    """Segments in one array: each padded to whole half chunks, with room for the last filter."""
+    """Segments in one array: each padded to whole half chunks, with a filter's length of padding at least.
+
+    ``last`` are the segments' last half chunks: the filters' last places there would read the next segment.
+    """
 
     def __init__(self, parts: list[bytes]):
         sizes = [-(-(len(part) + TAIL) // HALF_BYTES) * HALF_BYTES for part in parts]
@@ -39,8 +43,9 @@ class Layout:
         self.halves = int(self.of.sum())
         ends = np.cumsum(self.of)
         self.first = ends - self.of
+        self.last = ends - 1
         self.next = np.arange(1, self.halves + 1)
-        self.next[ends - 1] = ends - 1  # the last half chunk of a segment stands alone
+        self.next[self.last] = self.last  # the last half chunk of a segment stands alone
 
 
 class Net:
@@ -68,6 +73,7 @@ class Net:
         for k in range(1, READ):
             found += steps[k : n + k] @ self.filters[k]
         found = found.reshape(layout.halves, HALF, FILTERS)
+        found[layout.last, HALF - READ + 1 :] = -np.inf
         half = np.maximum(found.max(axis=1) + self.filter_bias, 0)
         chunk = np.maximum(half, half[layout.next])
         unit = np.maximum(chunk @ self.units + self.unit_bias, 0)
@@ -163,12 +169,19 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
+def _sample(text: Column) -> Column:
+    """A text of up to SAMPLE_CHARS characters, or PASSAGES evenly spread passages of a longer one."""
+    n, size = F.char_length(text), SAMPLE_CHARS // PASSAGES
+    passages = [F.substring(text, (F.floor((n - size) * k / (PASSAGES - 1)) + 1).cast("int"), F.lit(size)) for k in range(PASSAGES)]
+    return F.when(n <= SAMPLE_CHARS, text).otherwise(F.concat(*passages))
+
+
 def learned(docs: DataFrame, labels: DataFrame, keep_out: Column) -> Net | None:
     """A network from a bounded sample of labelled rows for which ``keep_out`` is false.
 
-    At most SAMPLE_ROWS ids of each class are drawn by a hash, and their texts of at most
-    SAMPLE_BYTES bytes are collected; longer texts are no training rows. Of repeated labels the
-    lowest counts. None if a class has no rows.
+    At most SAMPLE_ROWS ids of each class are drawn by a hash, and their texts are collected, those
+    of more than SAMPLE_CHARS characters as passages. Of repeated labels the lowest counts, of
+    repeated ids the least text. None if a class has no rows.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~keep_out).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -177,7 +190,7 @@ def learned(docs: DataFrame, labels: DataFrame, keep_out: Column) -> Net | None:
     if len(counts) < 2:
         return None
     ids = spark.createDataFrame(drawn, "doc_id long, quality int")
-    rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "quality").collect()
+    rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min(_sample(F.col("text"))).alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
     target = np.array([r.quality for r in rows])
     if len(set(target.tolist())) < 2:
@@ -186,16 +199,19 @@ def learned(docs: DataFrame, labels: DataFrame, keep_out: Column) -> Net | None:
 
 
 def scored(docs: DataFrame, net: Net | None) -> DataFrame:
-    """doc_id and the score of each whole text; a null text is empty. Without a network all scores are 0.5."""
+    """doc_id and the score of each whole text; a null text is empty. Without a network all scores are 0.5.
+
+    Repeated rows are scored each; an empty table gives no rows. A task holds one slice of a batch.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [(text or "").encode() for text in batch.column(1).to_pylist()]
             score = net.score(texts) if net and texts else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,7 +227,10 @@ def classify(docs: DataFrame, labels: DataFrame, keep_out: Column | None = None,
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are predicted to be good, with all their columns; all, if nothing can be learned."""
+    """The documents that are predicted to be good, with all their columns; all, if nothing can be learned.
+
+    A null text is scored as an empty one. Repeated rows are judged each; an empty table stays empty.
+    """
     plain = docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").alias("text"))
     net = learned(plain, labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")), F.lit(False))
     if net is None:
