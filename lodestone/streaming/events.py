@@ -72,4 +72,4 @@ def drained(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame
     spark.createDataFrame([], stream.schema).write.parquet(rows(-1))
     query = stream.writeStream.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(rows(number))).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/*")
+    return spark.read.schema(stream.schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/*").select(stream.columns)
