@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrow import Output, columns_of
+from lodestone.llm.arrow import Output, columns_of, slices, tidy
 from lodestone.llm.shared import written
 from lodestone.llm.shingles import SPACE, WIDTH, Words, distinct
 
@@ -26,7 +26,7 @@ RULES = {
     "short_words": ("word_chars", "n_words", 1.5, 4.0, False),
 }
 CUTOFFS = 60
-#: Rejected good documents of a stratum, over all rules, and the chance that this doesn't hold somewhere.
+#: Good documents of a stratum that all rules together may reject, and the chance that this fails in some stratum.
 RISK, CHANCE = 0.02, 0.05
 
 FEATURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
@@ -50,7 +50,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches):
         out = Output(schema)
-        for batch in batches:
+        for batch in slices(batches):
             words = Words(batch.column(1), lower=False)
             letters = np.concatenate([[0], np.cumsum(~SPACE[words.data] & ((words.data & 0xC0) != 0x80))])[words.bounds]
             symbols = np.concatenate([[0], np.cumsum(SYMBOLS[words.data])])[words.bounds]
@@ -65,7 +65,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         yield out.batch()
 
     source = columns_of(docs, id_col, text_col)
-    return source.select(source.doc_id.cast("long"), "text").mapInArrow(run, FEATURES)
+    return source.select(source.doc_id.cast("long"), "text").mapInArrow(tidy(run), FEATURES)
 
 
 def base_failed() -> Column:
@@ -98,41 +98,38 @@ def at_most(k: int, n: int, p: float) -> float:
     return min(1.0, exp(most) * sum(exp(t - most) for t in terms))
 
 
-def choose(counts: list[tuple[int, str, int, int]], risk: float = RISK, chance: float = CHANCE) -> dict[tuple[int, str], int]:
-    """The strictest safe cutoff's index by stratum and rule; none is chosen where no cutoff is safe.
+def choose(counts: list[tuple[int, int, int]], risk: float = RISK, chance: float = CHANCE) -> dict[int, int]:
+    """The strictest safe step by stratum; none where no step is safe.
 
-    ``counts`` are (stratum, rule, index of the laxest rejecting cutoff, good documents). A cutoff is
-    safe if so few rejections would be unlikely at a true rate of ``risk`` over the rules. Cutoffs
-    are tested in a fixed order, from lax to strict, up to the first that fails, which needs no
-    further correction; rules and strata share ``chance`` by Bonferroni.
+    ``counts`` are (stratum, least step that rejects, good documents). A step sets all rules of a
+    stratum at once, to their cutoffs of that index, and is safe if so few rejections would be
+    unlikely at a true rate of ``risk``. Steps are tested in a fixed order, from lax to strict, up to
+    the first that fails, which needs no further correction; strata share ``chance`` by Bonferroni.
     """
-    found: dict[tuple[int, str], int] = {}
-    tests = len(STRATA) * len(RULES)
+    found: dict[int, int] = {}
     for s in range(len(STRATA)):
-        for rule in RULES:
-            at = np.zeros(CUTOFFS + 1, np.int64)
-            for stratum_, rule_, index, n in counts:
-                if (stratum_, rule_) == (s, rule):
-                    at[index] += n
-            total, rejected = int(at.sum()), np.cumsum(at[:-1]).tolist()
-            for index, k in enumerate(rejected):
-                if not total or k > risk * total or at_most(k, total, risk / len(RULES)) > chance / tests:
-                    break
-                found[s, rule] = index
+        at = np.zeros(CUTOFFS + 1, np.int64)
+        for stratum_, step, n in counts:
+            if stratum_ == s:
+                at[step] += n
+        total, rejected = int(at.sum()), np.cumsum(at[:-1]).tolist()
+        for step, k in enumerate(rejected):
+            if not total or k > risk * total or at_most(k, total, risk) > chance / len(STRATA):
+                break
+            found[s] = step
     return found
 
 
-def calibrated(counted: DataFrame, labels: DataFrame) -> dict[tuple[int, str], int]:
-    """Cutoffs from all labelled good documents that pass the base, counted by stratum, rule and cutoff.
+def calibrated(counted: DataFrame, labels: DataFrame) -> dict[int, int]:
+    """Steps from all labelled good documents that pass the base, counted by stratum and step.
 
     Of repeated labels of a document the lowest counts; null labels don't. What comes to the driver
-    is bounded by strata, rules and cutoffs.
+    is bounded by strata and cutoffs.
     """
     good = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     known = counted.where(~base_failed()).join(good, "doc_id", "left_semi")
-    rows = known.select(stratum().alias("stratum"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), strictness(r).alias("at")) for r in RULES))).alias("x"))
-    counts = rows.groupBy("stratum", "x.rule", "x.at").count().collect()
-    return choose([(r["stratum"], r["rule"], r["at"], r["count"]) for r in counts])
+    counts = known.groupBy(stratum().alias("stratum"), F.least(*map(strictness, RULES)).alias("step")).count().collect()
+    return choose([(r["stratum"], r["step"], r["count"]) for r in counts])
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,6 +141,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     counted = written(features(docs, id_col, text_col))
     safe = calibrated(counted, labels)
-    failed = [F.when((stratum() == s) & (strictness(rule) <= at), F.lit(rule)) for (s, rule), at in safe.items()]
+    step = sum((F.when(stratum() == s, at + 1).otherwise(0) for s, at in safe.items()), F.lit(0))
+    failed = [F.when(strictness(rule) < step, F.lit(rule)) for rule in RULES] if safe else []
     names = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
     return counted.withColumn("base_failed", base_failed()).withColumn("failed_rules", names).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
