@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns of one rendered part; longer conversations are rendered in several parts.
+#: Turns of one rendered part, and turn numbers that are hashed and counted together.
 PART_TURNS = 256
 #: Parts of the rolling hash: sums of 32-bit values, so that no sum overflows.
 SEEDS = (11, 12, 13, 14)
@@ -51,21 +51,32 @@ def maximal(turns: DataFrame) -> DataFrame:
     return whole.join(inner, key, "left_anti").select("conv_id", "n")
 
 
+def _numbered(turns: DataFrame) -> DataFrame:
+    """Turns with their place in the conversation, from 0, counted within parts of turn numbers and over the parts."""
+    each = turns.withColumn("range", F.floor(F.col("turn") / PART_TURNS))
+    over = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.groupBy("conv_id", "range").count().select("conv_id", "range", F.coalesce(F.sum("count").over(over), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy("turn", "role", "text"))
+    return each.withColumn("within", within).join(before, ["conv_id", "range"]).withColumn("place", F.col("before") + F.col("within") - 1)
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """Rendered maximal conversations: conv_id, part (from 0), n_turns (of the conversation), text.
 
     A conversation is its turns in the order of turn, role, text; exactly repeated rows count once.
     It goes if all its turns are the first turns of a longer conversation, or if an equal one has a
-    smaller conv_id. A part has up to PART_TURNS turn numbers, so that no task gathers a whole long
-    conversation. Null values: see ``turns_of``. An empty table gives no rows; other columns are
+    smaller conv_id. A part has up to PART_TURNS turns, so that no task gathers a whole long
+    conversation, nor the many texts of one turn number. Texts stand as they are: markers in them
+    aren't escaped. Null values: see ``turns_of``. An empty table gives no rows; other columns are
     ignored. DataFrame functions only.
     """
     turns = turns_of(conversations)
     kept = maximal(turns)
-    part = F.floor(F.greatest(F.col("turn"), F.lit(0)) / PART_TURNS).cast("int")
+    part = F.floor(F.col("place") / PART_TURNS).cast("int")
     head, middle, tail = "<|im_start|>", "\n", "<|im_end|>\n"
     shown = F.concat(F.lit(head), "role", F.lit(middle), "text", F.lit(tail))
-    grouped = turns.join(kept, "conv_id").groupBy("conv_id", part.alias("part"), F.col("n").alias("n_turns")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", shown.alias("shown")))).alias("turns"))
+    rows = _numbered(turns.join(kept, "conv_id"))
+    grouped = rows.groupBy("conv_id", part.alias("part"), F.col("n").alias("n_turns")).agg(F.sort_array(F.collect_list(F.struct("place", shown.alias("shown")))).alias("turns"))
     return grouped.select("conv_id", "part", "n_turns", F.array_join(F.col("turns.shown"), "").alias("text"))
 
 
@@ -80,7 +91,7 @@ WITH turns AS (
   SELECT conv_id, n FROM whole a WHERE NOT EXISTS (
     SELECT 1 FROM whole b WHERE b.conv_id <> a.conv_id AND starts_with(b.body, a.body) AND (b.n > a.n OR b.n = a.n AND b.conv_id < a.conv_id))
 )
-SELECT conv_id, CAST(greatest(turn, 0) // 256 AS INTEGER) AS part, n AS n_turns,
-  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text
-FROM turns JOIN kept USING (conv_id) GROUP BY ALL
+SELECT conv_id, CAST(place // 256 AS INTEGER) AS part, n AS n_turns,
+  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place FROM turns JOIN kept USING (conv_id)) GROUP BY ALL
 """
