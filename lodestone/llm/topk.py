@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from math import ceil
 
 import numpy as np
@@ -13,6 +14,8 @@ from lodestone.llm.shared import written
 
 #: Rows of one index block (a multiple of 64), queries of one query block, query blocks that one task takes.
 BLOCK_ROWS, BLOCK_QUERIES, TASK_BLOCKS = 65_536, 256, 64
+#: Quantised components beyond this count as this.
+LARGEST = 1 << 40
 
 
 class SlicedBlock:
@@ -115,10 +118,11 @@ class SlicedBlock:
                 if n == k:
                     break
         rows = np.concatenate([_set_bits(sure), _set_bits(equal)[: k - n_sure]])
-        score = np.full(len(rows), shift, np.int64)
+        kind = object if len(slices) > 61 or abs(shift) >= 1 << 62 else np.int64  # whole numbers of any size, or fast ones
+        score = np.full(len(rows), shift, kind)
         word, bit = rows >> 6, (rows & 63).astype(np.uint64)
         for b, bitmap in enumerate(slices):
-            score += (bitmap[word] >> bit & np.uint64(1)).astype(np.int64) << b
+            score += (bitmap[word] >> bit & np.uint64(1)).astype(np.int64).astype(kind) << b
         return self.ids[rows], score
 
 
@@ -130,12 +134,12 @@ def _set_bits(bitmap: np.ndarray) -> np.ndarray:
 
 
 def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and floor(scale * x) of each component, for vectors without null or non-finite ones."""
+    """vec_id and floor(scale * x) of each component, within LARGEST, for vectors without null or non-finite ones."""
     vector = F.col("vector")
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     source = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("vector"))
     found = source.where(F.col("vec_id").isNotNull() & vector.isNotNull()).where(whole)
-    return found.groupBy("vec_id").agg(F.min("vector").alias("vector")).select("vec_id", F.transform(vector, lambda x: F.floor(x * scale).cast("long")).alias("value"))
+    return found.groupBy("vec_id").agg(F.min("vector").alias("vector")).select("vec_id", F.transform(vector, lambda x: F.floor(F.greatest(F.least(x, F.lit(LARGEST / scale)), F.lit(-LARGEST / scale)) * scale).cast("long")).alias("value"))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -150,15 +154,18 @@ def exact_top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 6
     Rows: query_id, rank (from 1), vec_id, score. Components are floor(scale * x); ties go to the
     smaller id; fewer candidates give fewer rows. Vectors that are null or hold null or non-finite
     components, and rows without an id, take no part; of rows that share an id the smallest vector
-    does. Missing components at the end of a shorter vector count as 0. An empty table gives no
-    rows; other columns are ignored.
+    does. Missing components at the end of a shorter vector count as 0. A quantised component beyond
+    LARGEST counts as LARGEST; rows are ranked by their whole score, and a score that a long doesn't
+    hold is shown as the nearest long. An empty table gives no rows; other columns are ignored.
 
     Rows are dealt into blocks by the hash of their id and each block is indexed in bit slices; blocks
     of queries meet every index block once, and the tops of the blocks are merged.
     """
     spark = vectors.sparkSession
     rows = written(quantised(vectors, scale, id_col, vector_col))
-    n, asked = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
+    size = F.aggregate("value", F.lit(0).cast("long"), lambda most, x: F.greatest(most, F.abs(x)))
+    n, asked, largest, wide = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.max(size), F.max(F.size("value"))).first()
+    fits = (largest or 0) ** 2 * (wide or 0) < 1 << 62  # else scores travel as decimals
     blocks, query_blocks = max(1, ceil(n / BLOCK_ROWS)), max(1, ceil(asked / BLOCK_QUERIES))
     shares = min(query_blocks, max(ceil(2 * spark.sparkContext.defaultParallelism / blocks), ceil(query_blocks / TASK_BLOCKS)))
 
@@ -186,7 +193,9 @@ def exact_top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 6
                     ids, score = block.top(query, own, k)
                     for column, found in zip(out, (np.full(len(ids), own), ids, score), strict=True):
                         column.append(found)
-        return pa.table({c: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for c, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
+        ids = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out[:2]]
+        score = pa.array(np.concatenate(out[2]).astype(np.int64) if out[2] else [], pa.int64()) if fits else pa.array([Decimal(int(x)) for part in out[2] for x in part], pa.decimal128(38, 0))
+        return pa.table({"query_id": ids[0], "vec_id": ids[1], "score": score})
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     indexed = dealt.groupBy("block").applyInArrow(index, "block int, ids binary, low binary, width binary, maps binary")
@@ -194,9 +203,11 @@ def exact_top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 6
     parts = asked_rows.groupBy("part").applyInArrow(queries, "part int, names binary, weights binary")
     left = indexed.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     right = parts.withColumn("share", F.col("part") % shares).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(search, "query_id long, vec_id long, score long")
+    found = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(search, f"query_id long, vec_id long, score {'long' if fits else 'decimal(38,0)'}")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}")
+    shown = F.greatest(F.least(F.col("score"), F.lit((1 << 63) - 1)), F.lit(-(1 << 63))).cast("long")
+    return ranked.select("query_id", "rank", "vec_id", "score" if fits else shown.alias("score"))
 
 
 #: The same in DuckDB, by plain inner products.

@@ -34,6 +34,17 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block):
     assert topk.exact_top_k(table.limit(0)).count() == 0
 
 
+def test_large_components_are_ranked_by_their_whole_score(spark):
+    rows = [(0, [1e300, 1.0]), (1, [3e17, 0.5]), (2, [-1e300, 2.0]), (3, [0.5, 0.25]), (4, [2.0**34, 7.0]), (5, [float("inf"), 1.0]), (20, [0.25, -3e17])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [max(-topk.LARGEST, min(topk.LARGEST, int(np.floor(64 * x)) if abs(x) < 1e16 else int(x) * 64)) for x in v] for i, v in rows if np.isfinite(v).all()}
+    want = set()
+    for q in (0, 20):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)
+        want |= {(q, r, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, i) in enumerate(scores, 1)}
+    assert {tuple(r) for r in topk.exact_top_k(table).collect()} == want
+
+
 def test_rows_that_share_an_id_count_once(spark):
     table = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (1, [1.0]), (2, [0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.exact_top_k(table).orderBy("rank").collect()] == [(0, 1, 1, 4096), (0, 2, 2, 2048)]
