@@ -19,8 +19,14 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 
 def literal(vector: Column, places: int) -> Column:
-    shown = F.transform(vector, lambda x: F.format_string(f"%.{places}f", x.cast("double")))
-    return F.concat(F.lit("["), F.array_join(shown, ","), F.lit("]"))
+    """A vector as text; each component's exact value is rounded, halves to even, as C does and Java's formatter doesn't."""
+
+    @F.arrow_udf("string")
+    def shown(vectors: pa.Array) -> pa.Array:
+        form = f"%.{places}f"
+        return pa.array([None if v is None else "[" + ",".join(form % x for x in v if x is not None) + "]" for v in vectors.to_pylist()], pa.string())
+
+    return shown(vector.cast("array<double>"))
 
 
 def to_embed(docs: DataFrame, done: DataFrame, model: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lodestone.operators import answers as A
+from lodestone.operators import vectors as V
 
 
 def test_row_whose_numbers_are_all_years_stays_without_a_figure(spark):
@@ -10,3 +13,9 @@ def test_row_whose_numbers_are_all_years_stays_without_a_figure(spark):
     rows = [(1, asked, 1, "2023 2022 2021 Total revenues 2050 2051"), (2, asked, 1, "2023 2022 2021 Total revenues 2050 2051"), (2, asked, 2, "2023 2022 2021 Total revenues 2050 7")]
     found = {r.q_id: (r.label, r.value, r["rank"], r.answer is None) for r in A.direct_facts(spark.createDataFrame(rows, "q_id int, question string, rank int, text string")).collect()}
     assert found == {1: ("total revenues", None, 1, True), 2: ("total revenues", "7", 2, False)}
+
+
+def test_literals_round_halves_of_the_exact_value_to_even(spark):
+    rows = spark.createDataFrame([(1, [0.0078125, -0.0234375, 2.0**-20, None]), (2, None), (3, [])], "vec_id int, embedding array<float>")
+    found = {r.vec_id: r.shown for r in rows.select("vec_id", V.literal(F.col("embedding"), 6).alias("shown")).collect()}
+    assert found == {1: "[0.007812,-0.023438,0.000001]", 2: None, 3: "[]"}
