@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import glob
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import answers as A
+from lodestone.operators import retrieval as R
 from lodestone.operators import vectors as V
-from lodestone.sources import readers
+from lodestone.operators.index import shared_index
+from lodestone.sources import readers, shared
 
 
 def test_row_whose_numbers_are_all_years_stays_without_a_figure(spark):
@@ -26,3 +31,16 @@ def test_entities_without_semicolons_and_texts_at_the_end_are_read_as_they_stand
     pages = [(1, "<title>a&amp;b &amp</title><script>x&&y&amp;</script><p>c &copy; &nosuch; d"), (2, "e & f"), (3, None)]
     found = {r.page_id: r.text for r in spark.createDataFrame(pages, "page_id int, html string").select("page_id", readers.parsed_text(F.col("html")).alias("text")).collect()}
     assert found == {1: "a&b &amp x&&y&amp;\nc \u00a9 &nosuch; d", 2: "e & f", 3: ""}
+
+
+def test_an_index_stores_no_texts_tokens_or_postings(spark, data):
+    docs, folder = spark.read.parquet(f"{data}/documents.parquet").limit(20), f"{shared.shared_folder(spark)}/small-{shared.unique()}"
+    index = shared_index(docs, folder)
+    stored = {c for table in glob.glob(f"{folder}/*/*") for c in spark.read.parquet(table).columns}
+    assert stored and not stored & {"text", "tokens", "chunk_id"}
+    asked = spark.read.parquet(f"{data}/benchmark.parquet").where("item_id < 2").selectExpr("item_id as q_id", "text as question")
+    told = R.understood(asked)
+    best = {(r.q_id, r.chunk_id, r.score) for r in R.lexical(index, told, 3).collect()}
+    order = Window.partitionBy("q_id", "chunk_level").orderBy(F.desc("score"), "chunk_id")
+    every = R.lexical(index, told).withColumn("nth", F.row_number().over(order)).where("nth <= 3")
+    assert best == {(r.q_id, r.chunk_id, r.score) for r in every.collect()} and len(best) >= 6
