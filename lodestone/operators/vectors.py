@@ -78,6 +78,8 @@ def embedded_questions(questions: DataFrame, model: Callable[[pd.Series], list[n
 
 #: Rows and queries that a task compares at once, and queries that are sent to all tasks.
 BLOCK_ROWS, BLOCK_QUERIES, MOST_QUERIES = 4_096, 256, 20_000
+#: Matches that a task holds before it drops those that others of it beat, and rows of a batch that it gives.
+MOST_HELD, BLOCK_OUT = 200_000, 50_000
 
 
 def _usable(name: str, vector: str) -> Column:
@@ -85,13 +87,15 @@ def _usable(name: str, vector: str) -> Column:
     return F.col(name).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
 
 
-def best_matches(rows: DataFrame, asked: DataFrame, k: int, least: float = -1.0) -> DataFrame:
+def best_matches(rows: DataFrame, asked: DataFrame, k: int, least: float = -1.0, buckets: tuple[float, int] | None = None) -> DataFrame:
     """The k rows (id, weight, embedding) of the highest weight times cosine similarity for each query (q_id, embedding).
 
     Columns: q_id, id, similarity, value (both of 9 decimals), rank; ties go to the smaller id. Only
-    similarities of at least ``least`` count. ``asked`` is a stated set: each block of rows gives its
-    own k best of every query, and these are merged; MOST_QUERIES queries are sent at once. Vectors
+    similarities of at least ``least`` count. ``asked`` is a stated set: each task gives its own k best
+    of every query, and these are merged; MOST_QUERIES queries are sent at once. Vectors
     that are null, hold null or non-finite components, are all zero or have another dimension take no part.
+    With ``buckets`` (width, tables) only pairs that share a bucket of a random projection in a table
+    count, and value is their unit vectors' distance (6 decimals), below zero.
     """
     spark, kinds = rows.sparkSession, dict(rows.dtypes)
     plain = rows.where(_usable("id", "embedding")).select("id", F.col("weight").cast("double").alias("weight"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -101,14 +105,21 @@ def best_matches(rows: DataFrame, asked: DataFrame, k: int, least: float = -1.0)
     for share in range(shares):
         table = told.where(F.pmod(F.xxhash64("q_id"), F.lit(shares)) == share).toArrow().sort_by("q_id")
         sent = spark.sparkContext.broadcast((table.column("q_id").to_pylist(), table.column("embedding").to_pylist()))
-        part = plain.mapInArrow(_block_best(sent, k, least), f"q_id {dict(asked.dtypes)['q_id']}, id {kinds['id']}, similarity double, value double")
+        part = plain.mapInArrow(_block_best(sent, k, least, buckets), f"q_id {dict(asked.dtypes)['q_id']}, id {kinds['id']}, similarity double, value double")
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("q_id").orderBy(F.desc("value"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block_best(sent, k: int, least: float):
-    """A function of batches (id, weight, embedding) that gives each query's k best rows of each block."""
+def _hashed(unit: np.ndarray, width: float, tables: int) -> np.ndarray:
+    """The bucket of each unit vector in each table: its place on a random direction, in steps of ``width``."""
+    directions = np.random.default_rng(42).standard_normal((tables, unit.shape[1]))
+    directions /= np.sqrt((directions * directions).sum(axis=1))[:, None]
+    return np.floor(unit @ directions.T / width).astype(np.int64)
+
+
+def _block_best(sent, k: int, least: float, buckets: tuple[float, int] | None = None):
+    """A function of batches (id, weight, embedding) that gives each query's k best rows of its task."""
 
     def run(batches):
         names, asked = sent.value
@@ -116,26 +127,61 @@ def _block_best(sent, k: int, least: float):
         for at, vector in enumerate(asked):
             of_size.setdefault(len(vector), []).append(at)
         unit = {size: (m := np.array([asked[at] for at in at_rows]), np.sqrt((m * m).sum(axis=1))) for size, at_rows in of_size.items()}
+        hashes = {size: _hashed(m / norm[:, None], *buckets) for size, (m, norm) in unit.items()} if buckets else {}
+        held: list[list[np.ndarray]] = []
+        n_held = 0
+
+        def cut():
+            nonlocal held, n_held
+            q, value, ids, similarity = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((ids, -value, q))
+            ordered = q[order]
+            begins = np.concatenate(([0], np.flatnonzero(np.diff(ordered)) + 1))
+            nth = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+            held = [[x[order[nth < k]] for x in (q, value, ids, similarity)]]
+            n_held = len(held[0][0])
+
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK_ROWS):
                 block = batch.slice(start, BLOCK_ROWS)
                 ids, weight, vectors = block.column(0).to_pylist(), block.column(1).to_numpy(zero_copy_only=False), block.column(2)
                 length = np.diff(vectors.offsets.to_numpy())
                 by_id = np.array(sorted(range(len(ids)), key=ids.__getitem__), np.int64)
+                name = np.array(ids)
                 for size in np.unique(length).tolist():
                     if size not in unit:
                         continue
                     own = by_id[length[by_id] == size]
                     values = vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
                     norm = np.sqrt((values * values).sum(axis=1))
+                    mine = _hashed(values / norm[:, None], *buckets) if buckets else None
                     for first in range(0, len(of_size[size]), BLOCK_QUERIES):
                         w, w_norm = (x[first : first + BLOCK_QUERIES] for x in unit[size])
-                        similarity = np.round(w @ values.T / (w_norm[:, None] * norm), 9) + 0.0
-                        value = np.where(similarity >= least, np.round(weight[own] * similarity, 9) + 0.0, -np.inf)
+                        similarity = w @ values.T / (w_norm[:, None] * norm)
+                        if buckets:
+                            theirs = hashes[size][first : first + BLOCK_QUERIES]
+                            meets = np.zeros(similarity.shape, bool)
+                            for table in range(mine.shape[1]):
+                                meets |= theirs[:, table, None] == mine[:, table]
+                            value = np.where(meets, -np.round(np.sqrt(np.maximum(0.0, 2 - 2 * similarity)), 6) + 0.0, -np.inf)
+                            similarity = np.round(similarity, 9) + 0.0
+                        else:
+                            similarity = np.round(similarity, 9) + 0.0
+                            value = np.where(similarity >= least, np.round(weight[own] * similarity, 9) + 0.0, -np.inf)
                         order = np.argsort(-value, axis=1, kind="stable")[:, :k]
                         row, place = np.nonzero(np.take_along_axis(value, order, axis=1) > -np.inf)
                         at = order[row, place]
-                        yield pa.RecordBatch.from_pydict({"q_id": [names[of_size[size][first + r]] for r in row], "id": [ids[x] for x in own[at]], "similarity": similarity[row, at], "value": value[row, at]})
+                        if len(at):
+                            held.append([np.array(of_size[size])[first + row], value[row, at], name[own[at]], similarity[row, at]])
+                            n_held += len(at)
+                            if n_held > max(MOST_HELD, 2 * len(names) * k):
+                                cut()
+        if held:
+            cut()
+            q, value, ids, similarity = held[0]
+            for start in range(0, len(q), BLOCK_OUT):
+                at = slice(start, start + BLOCK_OUT)
+                yield pa.RecordBatch.from_pydict({"q_id": [names[x] for x in q[at]], "id": ids[at].tolist(), "similarity": similarity[at], "value": value[at]})
 
     return run
 
@@ -169,15 +215,13 @@ def progress(done: DataFrame) -> DataFrame:
 def approximate_nearest(vectors: DataFrame, every: int, k: int, width: float = 1.2, tables: int = 8) -> DataFrame:
     """The k nearest by random projections of unit vectors; rows whose id is divisible by ``every`` ask.
 
-    Euclidean distance of unit vectors orders as cosine does. Pairs beyond the search radius are not found.
+    Every row is hashed where it is read; a query's candidates are the rows that share a bucket with it
+    in some table, and no pair of candidates is shuffled that another of its task beats. Euclidean
+    distance of unit vectors orders as cosine does.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    size = F.sqrt(dot("embedding", "embedding"))
-    unit = vectors.where(size > 0).select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / size)).alias("unit"))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=42).fit(unit)
-    pairs = model.approxSimilarityJoin(unit.where(F.col("vec_id") % every == 0), unit, 2.0, distCol="distance")
-    rows = pairs.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), F.round("distance", 6).alias("distance")).where("query_id <> vec_id")
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rows = vectors.select(F.col("vec_id").alias("id"), F.lit(1.0).alias("weight"), "embedding")
+    asked = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q_id"), "embedding")
+    near = best_matches(rows, asked, k + 1, buckets=(width, tables)).where("q_id <> id")
+    order = Window.partitionBy("q_id").orderBy("distance", "id")
+    near = near.select("q_id", "id", (-F.col("value") + 0.0).alias("distance")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return near.select(F.col("q_id").alias("query_id"), F.col("id").alias("vec_id"), "distance", "rank")

@@ -44,3 +44,16 @@ def test_an_index_stores_no_texts_tokens_or_postings(spark, data):
     order = Window.partitionBy("q_id", "chunk_level").orderBy(F.desc("score"), "chunk_id")
     every = R.lexical(index, told).withColumn("nth", F.row_number().over(order)).where("nth <= 3")
     assert best == {(r.q_id, r.chunk_id, r.score) for r in every.collect()} and len(best) >= 6
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_neighbours_shuffle_no_vectors_and_no_candidates(spark):
+    vectors = spark.createDataFrame([(k, [1.0, float(k % 7), float(k % 11)]) for k in range(200)] + [(200, None), (201, [0.0, 0.0, 0.0]), (202, [1.0, float("nan"), 0.0])], "vec_id long, embedding array<float>")
+    near = V.approximate_nearest(vectors, 50, 3)
+    assert "Join" not in _plan(near) and "Generate" not in _plan(near)
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.distance) for r in near.collect()}
+    assert found[0, 1] == (77, 0.0) and found[0, 2] == (154, 0.0) and {q for q, _ in found} == {0, 50, 100, 150}
+    assert all(r.distance > 0 for r in near.where("rank = 3").collect())
