@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import answers as A
+from lodestone.operators import corpus as C
 from lodestone.operators import retrieval as R
 from lodestone.operators import vectors as V
 from lodestone.operators.index import shared_index
@@ -57,3 +58,13 @@ def test_bucketed_neighbours_shuffle_no_vectors_and_no_candidates(spark):
     found = {(r.query_id, r["rank"]): (r.vec_id, r.distance) for r in near.collect()}
     assert found[0, 1] == (77, 0.0) and found[0, 2] == (154, 0.0) and {q for q, _ in found} == {0, 50, 100, 150}
     assert all(r.distance > 0 for r in near.where("rank = 3").collect())
+
+
+def test_page_statistics_shuffle_no_lines_and_agree_with_the_kept_lines(spark):
+    body = [f"body {'abcdefghij'[k]} of page" for k in range(8)]
+    pages = [("a", k, "\n".join(["Annual Report 2020", *(f"{x} {'klmno'[k]}" for x in body), f"Page {k}"])) for k in range(5)] + [("a", 4, "other first\nother last"), ("b", 1, "one\ntwo"), ("b", 2, None)]
+    kept, stats = C.clean_pages(spark.createDataFrame(pages, "doc string, page long, text string"))
+    assert "posexplode" not in _plan(stats)
+    assert {r.doc: tuple(r)[1:] for r in stats.collect()} == {"a": (6, 5, 10, 1, 3), "b": (2, 1, 0, 1, 1)}
+    lines = [(r.doc, r.page, r.idx) for r in kept.collect()]
+    assert sorted(lines) == sorted([("a", k, i) for k in range(5) for i in range(1, 9)] + [("a", 4, 0), ("a", 4, 1), ("b", 1, 0), ("b", 1, 1)])
