@@ -7,6 +7,7 @@ import glob
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import registration
 from lodestone.operators import answers as A
 from lodestone.operators import corpus as C
 from lodestone.operators import retrieval as R
@@ -68,3 +69,11 @@ def test_page_statistics_shuffle_no_lines_and_agree_with_the_kept_lines(spark):
     assert {r.doc: tuple(r)[1:] for r in stats.collect()} == {"a": (6, 5, 10, 1, 3), "b": (2, 1, 0, 1, 1)}
     lines = [(r.doc, r.page, r.idx) for r in kept.collect()]
     assert sorted(lines) == sorted([("a", k, i) for k in range(5) for i in range(1, 9)] + [("a", 4, 0), ("a", 4, 1), ("b", 1, 0), ("b", 1, 1)])
+
+
+def test_texts_without_ideographs_are_not_read_token_by_token(monkeypatch):
+    texts = ["Stra\u00dfe 12-B\u00c4\u0130x \u212a9", "", None, "one", "\u00e9\u00e9", "Tesla \u5b81\u5fb7\u65f6\u4ee3 2023\u8425\u6536 A"]
+    assert [registration.tokens_of(x) for x in texts[:5]] == [["stra", "e", "12", "b", "x", "9"], [], [], ["one"], []]
+    assert registration.tokens_of(texts[5]) == ["tesla", "\u5b81\u5fb7\u65f6\u4ee3", "\u5b81\u5fb7", "\u5fb7\u65f6", "\u65f6\u4ee3", "2023", "\u8425\u6536", "a"]
+    monkeypatch.setattr(registration, "_TOKEN", None)
+    assert registration.tokens_of("One two\u00e4 3") == ["one", "two", "3"]
