@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import glob
+import os
 
+import pyarrow as pa
+import pyarrow.parquet
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from lodestone.operators import corpus as C
 from lodestone.operators import retrieval as R
 from lodestone.operators import vectors as V
 from lodestone.operators.index import shared_index
+from lodestone.plans import base
 from lodestone.sources import readers, shared
 
 
@@ -77,3 +81,11 @@ def test_texts_without_ideographs_are_not_read_token_by_token(monkeypatch):
     assert registration.tokens_of(texts[5]) == ["tesla", "\u5b81\u5fb7\u65f6\u4ee3", "\u5b81\u5fb7", "\u5fb7\u65f6", "\u65f6\u4ee3", "2023", "\u8425\u6536", "a"]
     monkeypatch.setattr(registration, "_TOKEN", None)
     assert registration.tokens_of("One two\u00e4 3") == ["one", "two", "3"]
+
+
+def test_large_documents_of_one_file_are_not_shuffled(spark, data, tmp_path):
+    texts = [os.urandom(2_000_000).hex() for _ in range(10)]
+    table = pa.table({"doc_id": list(range(10)), "text": texts, "lang": ["en"] * 10, "source": ["src1"] * 10})
+    pa.parquet.write_table(table, f"{tmp_path}/documents.parquet", row_group_size=1)
+    assert "Exchange" not in _plan(base.chunks(spark, str(tmp_path)))
+    assert "Exchange" in _plan(base.chunks(spark, data))
