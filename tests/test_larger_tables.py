@@ -50,6 +50,9 @@ def test_an_index_stores_no_texts_tokens_or_postings(spark, data):
     order = Window.partitionBy("q_id", "chunk_level").orderBy(F.desc("score"), "chunk_id")
     every = R.lexical(index, told).withColumn("nth", F.row_number().over(order)).where("nth <= 3")
     assert best == {(r.q_id, r.chunk_id, r.score) for r in every.collect()} and len(best) >= 6
+    none = R.lexical(index, told.where("q_id < 0"))
+    assert "MapInArrow" not in _plan(none) and none.count() == 0 and none.columns == R.lexical(index, told).columns
+    assert R.retrieve(index, told.where("q_id < 0")).count() == 0
 
 
 def _plan(df) -> str:
